@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near import ngram_jaccard_join
+from .quality import LEAST_MEAN, MOST_DUP_LINES, MOST_MEAN, MOST_SYMBOLS, quality
 from .substring import repeated_words
 from .toxicity import in_fold, learn, toxicity
 
@@ -31,6 +32,36 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_docs(spark, sf_dir)).drop("rejected_by")
+
+
+#: Which of several rules is asked first depends on measured times, so the query drops rejected_by.
+OP8_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT rid, i, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM base)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM windows) WHERE c > 1
+), repeats AS (
+  SELECT rid, sum(least(5, i + 5 - coalesce(e, 0))) AS n FROM (SELECT rid, i, lag(i + 5) OVER (PARTITION BY rid ORDER BY i) AS e FROM twice) GROUP BY rid
+), counted AS (
+  SELECT doc_id, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM base LEFT JOIN repeats USING (rid)
+), judged AS (
+  SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_symbols > word_chars * {MOST_SYMBOLS} OR len(ls) - len(list_distinct(ls)) > len(ls) * {MOST_DUP_LINES}
+      OR word_chars < n_words * {LEAST_MEAN} OR word_chars > n_words * {MOST_MEAN} OR (upper(t) = t AND lower(t) <> t) AS rejected
+  FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(_docs(spark, sf_dir))
 
@@ -39,9 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_toxicity": op5_toxicity,
+        "op8_quality_rules": op8_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": OP8_SQL}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .licenses import license_scan
+from .licenses import oracle as licenses_sql
 from .near import ngram_jaccard_join
 from .quality import LEAST_MEAN, MOST_DUP_LINES, MOST_MEAN, MOST_SYMBOLS, quality
 from .substring import repeated_words
@@ -32,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_docs(spark, sf_dir)).withColumn("notices", F.array_join("notices", ","))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir)).drop("rejected_by")
 
@@ -70,10 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_toxicity": op5_toxicity,
+        "op6_license_scan": op6_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op6_license_scan": licenses_sql(), "op8_quality_rules": OP8_SQL}

@@ -28,7 +28,7 @@ from .common import BYTE, chunks, cut, forget, gram_hashes, prepare, ranges, sca
 from .fmindex import FMIndex, repeated_windows
 
 #: Words that one shard indexes, about; occurrences from which an anchor's windows are dealt out one by one.
-SHARD_WORDS, HOT = 1_500_000, 1000
+SHARD_WORDS, HOT = 500_000, 1000
 
 
 def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .licenses import license_scan
 from .licenses import oracle as licenses_sql
 from .near import ngram_jaccard_join
+from .packing import pack
 from .quality import LEAST_MEAN, MOST_DUP_LINES, MOST_MEAN, MOST_SYMBOLS, quality
 from .substring import repeated_words
+from .tokens import word_file
 from .toxicity import in_fold, learn, toxicity
 
 #: A document is toxic from this score on.
@@ -23,6 +25,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), tokenizer=word_file())
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir))
 
@@ -74,6 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,

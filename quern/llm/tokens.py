@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Spellings that a worker keeps; beyond it forgets all, so its memory is bounded.
-KEPT = 300_000
+KEPT = 500_000
+#: Stands between pieces that are encoded together; a piece that holds it is encoded alone.
+MARK = "\x01"
 _open: dict[str, WordTokens] = {}
 
 
@@ -42,6 +44,11 @@ class WordTokens:
         first = (pre.get("pretokenizers") or [pre])[0]
         added = said["added_tokens"]
         self.by_word = first.get("type") == "Split" and r"\s" in str(first["pattern"]) and first["behavior"] == "Removed" and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in added)
+        kinds = str(said["normalizer"])
+        self.lowers, pattern = "Lowercase" in kinds, str(first.get("pattern"))
+        self.splits_marks = self.by_word and r"[\\p{L}]+" in pattern and r"[^\\s\\p{L}\\p{N}]+" in pattern
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.forget()
 
@@ -49,16 +56,50 @@ class WordTokens:
         self.number: dict[str, int] = {}
         self.flat, self.at = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded], np.int64)
-        end = int(self.at[-1] + sizes.sum())
+    def _add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        end = int(self.at[-1]) + len(flat)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.at[-1]], np.empty(end, np.uint32)])
-        self.flat[self.at[-1] : end] = np.fromiter((i for x in encoded for i in x), np.uint32, end - int(self.at[-1]))
+        self.flat[self.at[-1] : end] = flat
         base = len(self.at) - 1
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.number.update((p, base + k) for k, p in enumerate(pieces))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.number.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        """Many short texts cost less as a few long ones, with a mark between that no piece holds."""
+        plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
+        if plain:
+            joint = f" {MARK} "
+            runs = [joint.join(plain[i : i + 256]) + f" {MARK}" for i in range(0, len(plain), 256)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == self.mark)
+            if len(ends) == len(plain):
+                self._add(plain, flat[flat != self.mark], np.diff(ends, prepend=-1) - 1)
+            else:
+                plain = []
+        if rest := list(set(pieces).difference(plain)):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._add(rest, np.array([i for x in encoded for i in x], np.uint32), np.array([len(x) for x in encoded], np.int64))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces of letters and a last comma or stop share what the tokenizer gives their letters."""
+        from .common import ranges
+
+        number, parts, alone = self.number, [], []
+        for p in pieces:
+            q = p[:-1] if p[-1:] in ",." else p
+            c = q.lower() if self.lowers else q
+            if self.splits_marks and c != p and q.isalpha() and len(c) == len(q) and "\u03a3" not in q:
+                parts.append((p, c, p[len(q) :]))
+            else:
+                alone.append(p)
+        fresh = {c for _, c, _ in parts}.union(alone, (t for _, _, t in parts), ("",)).difference(number)
+        if fresh:
+            self._encode_new(list(fresh))
+        if parts := [x for x in parts if x[0] not in number]:
+            which = np.array([(number[c], number[t]) for _, c, t in parts], np.int64).ravel()
+            sizes = self.at[which + 1] - self.at[which]
+            self._add([p for p, _, _ in parts], self.flat[ranges(self.at[which], sizes)], sizes[::2] + sizes[1::2])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's begin, with the end after the last)."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+from .huffman import read_ids, write_ids
 from .licenses import license_scan
 from .licenses import oracle as licenses_sql
 from .near import ngram_jaccard_join
@@ -44,6 +47,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir)).withColumn("notices", F.array_join("notices", ","))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/quern-ids-{uuid.uuid4().hex}"
+    write_ids(_docs(spark, sf_dir), path, tokenizer=word_file())
+    return read_ids(spark, path).drop("ids")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir)).drop("rejected_by")
 
@@ -84,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
+        "op7_token_files": op7_token_files,
         "op8_quality_rules": op8_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
     }

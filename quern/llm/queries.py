@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip, rank_file, split_pattern
 from .common import shared_dir
 from .huffman import read_ids, write_ids
 from .licenses import license_scan
@@ -83,6 +84,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_docs(spark, sf_dir), ranks=rank_file(), pattern=split_pattern())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(_docs(spark, sf_dir))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_token_files": op7_token_files,
         "op8_quality_rules": op8_quality_rules,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
     }
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip, rank_file, split_pattern
 from .common import shared_dir
 from .huffman import read_ids, write_ids
+from .language import identify
+from .language import learn as learn_languages
 from .licenses import license_scan
 from .licenses import oracle as licenses_sql
+from .mtree import top_k
 from .near import ngram_jaccard_join
 from .packing import pack
 from .quality import LEAST_MEAN, MOST_DUP_LINES, MOST_MEAN, MOST_SYMBOLS, quality
@@ -33,10 +36,35 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), tokenizer=word_file())
 
 
+def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = learn_languages(docs.where(~in_fold("doc_id", 5, 0)))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = learn(docs, labels.where(~in_fold("doc_id", 3, 1)))
@@ -95,7 +123,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_mtree_top_k": op2_mtree_top_k,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
         "op7_token_files": op7_token_files,
@@ -106,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses_sql(), "op8_quality_rules": OP8_SQL}
+    return {"op2_mtree_top_k": OP2_SQL, "op6_license_scan": licenses_sql(), "op8_quality_rules": OP8_SQL}

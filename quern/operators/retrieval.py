@@ -110,8 +110,8 @@ def vector_scores(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return cs.mapInPandas(run, schema)
     blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((cs, CHUNK_BLOCK), (qs, QUERY_BLOCK)))
-    cs = cs.withColumn("b", F.pmod(F.xxhash64(*KEY), F.lit(blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    qs = qs.withColumn("p", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    cs = cs.withColumn("b", F.pmod(F.xxhash64(*KEY), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    qs = qs.withColumn("p", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _best(q, c, k) if len(q) and len(c) else pd.DataFrame(columns=[*KEY, "qid", "score"])

@@ -91,12 +91,12 @@ def probes(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
     return q.select(F.col("document_id").alias("qid"), "embedding", *(["user_id"] if scoped else []))
 
 
-def _vector_sql(where: str = "TRUE", k: int = 10) -> str:
+def _vector_sql(where: str = "score >= 0", k: int = 10) -> str:
     return f"""WITH {VECTOR_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id)::INTEGER AS rank FROM scored WHERE {where})
 SELECT qid, document_id, score, rank FROM ranked WHERE rank <= {k}"""
 
 
-@query(f"WITH {VECTOR_SQL} SELECT document_id, score FROM scored WHERE qid = 0 ORDER BY score DESC, document_id LIMIT 10")
+@query(f"WITH {VECTOR_SQL} SELECT document_id, score FROM scored WHERE qid = 0 AND score >= 0 ORDER BY score DESC, document_id LIMIT 10")
 def vector_topk(spark, sf):
     q = probes(spark, sf).where("qid = 0")
     return retrieval.vector_search(chunks(spark, sf, True), q, 10).select("document_id", "score")
@@ -107,7 +107,7 @@ def vector_topk_batch(spark, sf):
     return retrieval.vector_search(chunks(spark, sf, True), probes(spark, sf), 10).select("qid", "document_id", "score", "rank")
 
 
-@query(_vector_sql("source = asker"))
+@query(_vector_sql("source = asker AND score >= 0"))
 def vector_topk_filtered(spark, sf):
     return retrieval.vector_search(chunks(spark, sf, True), probes(spark, sf, True), 10).select("qid", "document_id", "score", "rank")
 
@@ -118,7 +118,7 @@ def threshold_search(spark, sf):
 
 
 @query(f"""WITH {VECTOR_SQL}, coarse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id) AS c FROM scored),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id)::INTEGER AS rank FROM coarse WHERE c <= 100 AND source = asker)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id)::INTEGER AS rank FROM coarse WHERE c <= 100 AND source = asker AND score >= 0)
 SELECT qid, document_id, score, rank FROM ranked WHERE rank <= 5""")
 def vector_coarse_late_filter(spark, sf):
     return retrieval.vector_search(chunks(spark, sf, True), probes(spark, sf, True), 5, coarse_limit=100).select("qid", "document_id", "score", "rank")

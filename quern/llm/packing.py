@@ -47,54 +47,52 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(small: list[int], large: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """What to take from ``small`` and from ``large`` in exchange, so that ``large`` grows most within ``room``."""
-    best, step = 0, None
-    backs = [([], 0)] + [([y], lengths[y]) for y in large]
-    ones = sorted(small, key=lambda x: lengths[x])
-    for k, x in enumerate(ones):
-        for back, size in backs:
-            gain = lengths[x] - size
-            if best < gain <= room:
-                best, step = gain, ([x], back)
-        for x2 in ones[k + 1 :]:
-            pair = lengths[x] + lengths[x2]
-            for back, size in backs[1:]:
-                if best < pair - size <= room:
-                    best, step = pair - size, ([x, x2], back)
-        if best == room:
-            break
-    return step
-
-
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty bins by moves that raise the sum of squared fills, until as few are left as the sum of lengths needs or
-    no move, exchange of one for one or of two for one raises it."""
+    no move, exchange of one for one or of two for one raises it.
+
+    From the emptiest bin on, everything that could leave it (one or two items) is held at once against everything
+    that could come back from any bin at least as full (nothing or one item); the step that fills a bin most is taken.
+    """
     least = -(-sum(lengths) // capacity)
     fill = {b: sum(lengths[i] for i in items) for b, items in enumerate(bins)}
     open_ = [b for b in fill if fill[b] < capacity]
     full = [bins[b] for b in fill if fill[b] >= capacity]
-    moved = True
-    while moved and len(full) + len(open_) > least:
-        moved = False
-        for a in sorted(open_, key=lambda b: fill[b]):
-            for b in sorted((b for b in open_ if b != a and fill[b] >= fill[a] and fill[b] < capacity), key=lambda b: -fill[b]):
-                step = _better(bins[a], bins[b], lengths, capacity - fill[b])
-                if step is None:
-                    continue
-                there, back = step
-                gain = sum(lengths[i] for i in there) - sum(lengths[i] for i in back)
-                bins[a] = [i for i in bins[a] if i not in there] + back
-                bins[b] = [i for i in bins[b] if i not in back] + there
-                fill[a], fill[b], moved = fill[a] - gain, fill[b] + gain, True
-                if not bins[a]:
-                    break
-            open_ = [b for b in open_ if bins[b]]
-            if moved:
-                full += [bins[b] for b in open_ if fill[b] >= capacity]
-                open_ = [b for b in open_ if fill[b] < capacity]
-                break
-    return full + [bins[b] for b in open_]
+    bins = {b: list(bins[b]) for b in open_}
+    stuck: set[int] = set()
+    while len(full) + len(bins) > least:
+        order = [b for b in sorted(bins, key=lambda b: (fill[b], b)) if b not in stuck]
+        if not order:
+            break
+        a = order[0]
+        others = [b for b in bins if b != a and fill[b] >= fill[a]]
+        backs = [(b, None) for b in others] + [(b, i) for b in others for i in bins[b]]
+        leaving = [(i,) for i in bins[a]] + [(i, j) for k, i in enumerate(bins[a]) for j in bins[a][k + 1 :]]
+        step = None
+        if backs:
+            sizes = np.array([sum(lengths[i] for i in x) for x in leaving])
+            rank = np.argsort(sizes, kind="stable")
+            back = np.array([0 if i is None else lengths[i] for _, i in backs])
+            room = np.array([capacity - fill[b] for b, _ in backs])
+            most = np.searchsorted(sizes[rank], back + room, "right") - 1
+            gain = np.where(most >= 0, sizes[rank][most] - back, 0)
+            best = int(gain.argmax())
+            if gain[best] > 0:
+                step = leaving[rank[most[best]]], backs[best]
+        if step is None:
+            stuck.add(a)
+            continue
+        there, (b, i) = step
+        more = sum(lengths[x] for x in there) - (0 if i is None else lengths[i])
+        bins[a] = [x for x in bins[a] if x not in there] + ([] if i is None else [i])
+        bins[b] = [x for x in bins[b] if x != i] + list(there)
+        fill[a], fill[b] = fill[a] - more, fill[b] + more
+        stuck.clear()
+        if fill[b] == capacity:
+            full.append(bins.pop(b))
+        if not bins[a]:
+            del bins[a]
+    return full + list(bins.values())
 
 
 def _pieces(path: str, end_id: int, capacity: int):

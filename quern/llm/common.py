@@ -53,11 +53,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: ends its lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quern_path = path
     return back
@@ -70,6 +70,19 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def numbered(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """(the ``kept`` columns under numbers and then the text, the start of their schema): names can't clash with any."""
+    rows = docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(kept)), docs[text_col].alias("text"))
+    return rows, "".join(f"c{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(kept))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or the like, that no column of ``docs`` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 SPACE = np.zeros(256, bool)
@@ -127,12 +140,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = min(b, n)
 
 
-def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, first byte, byte after the last) of every word, and the first word of each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte after the last, of every word; none crosses from one text into the next."""
     n = len(data)
     if n == 0:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     word = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -140,11 +152,21 @@ def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     opens[1:] &= ~word[:-1] | edge[1:n]
     closes = word.copy()
     closes[:-1] &= ~word[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE[data] * _power_table(BASE, n)[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power_table(UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return mix((sums[ends] - sums[starts]) * _power_table(UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
+
+
+def scan_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte, byte after the last) of every word, and the first word of each text."""
+    starts, ends = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

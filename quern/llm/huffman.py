@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, forget, prepare
 from .tokens import opened, text_chunks
 
 #: Most bits of a code; ids between checkpoints; ids of a block, unless one document has more.
@@ -129,43 +129,31 @@ def _ids(tokens, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]
     return np.insert(flat, at[1:], end_id), sizes
 
 
-def _count(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = opened(path)
-        counts = np.zeros(max(tokens.size, end_id + 1), np.int64)
-        for batch in batches:
-            for _, texts in text_chunks(batch.column(0)):
-                ids, _ = _ids(tokens, texts, end_id)
-                counts += np.bincount(ids, minlength=len(counts))
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
-
-    return run
-
+def _tokenise(path: str, end_id: int, kind: pa.DataType):
+    """Rows (id, text), in order, to blocks of plain ids of 16 or 32 bits: a partition is a shard."""
 
-def _encode(path: str, end_id: int, lengths: np.ndarray, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, codec, shard = opened(path), Codec(lengths), TaskContext.get().partitionId()
+        tokens, shard = opened(path), TaskContext.get().partitionId()
+        width = np.uint16 if max(tokens.size, end_id + 1) <= 1 << 16 else np.uint32
         block, before, keys, parts, sizes = 0, 0, [], [], []
 
         def flush():
             nonlocal block, before
-            ids = np.concatenate(parts)
-            data, checks = codec.encode(ids)
-            row = [[shard], [block], [before], [pa.concat_arrays(keys).to_pylist()], [np.concatenate(sizes).tolist()], [len(ids)], [checks.tolist()], [data]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            block, before = block + 1, before + len(ids)
+            n = sum(map(len, parts))
+            row = [[shard], [block], [before], [pa.concat_arrays(keys).to_pylist()], [np.concatenate(sizes).tolist()], [n], [np.concatenate(parts).tobytes()]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            block, before = block + 1, before + n
             for x in (keys, parts, sizes):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["shard", "block", "before", "docs", "sizes", "n", "checks", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["shard", "block", "before", "docs", "sizes", "n", "ids"])
 
         for batch in batches:
-            for row, texts in text_chunks(batch.column(1), 1 << 18):
+            for row, texts in text_chunks(batch.column(1)):
                 ids, many = _ids(tokens, texts, end_id)
                 keys.append(batch.column(0).slice(row, len(texts)))
-                parts.append(ids)
+                parts.append(ids.astype(width))
                 sizes.append(many)
                 if sum(map(len, parts)) >= BLOCK:
                     yield flush()
@@ -175,26 +163,56 @@ def _encode(path: str, end_id: int, lengths: np.ndarray, kind: pa.DataType):
     return run
 
 
+def _plain(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1, np.int64)
+    for batch in batches:
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.bincount(_plain(raw, n), minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
+
+
+def _encode(lengths: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(lengths)
+        for batch in batches:
+            for i, (n, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
+                bits, checks = codec.encode(_plain(raw, n))
+                kept = [batch.column(c).slice(i, 1) for c in ("shard", "block", "before", "docs", "sizes", "n")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([checks.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary())], names=["shard", "block", "before", "docs", "sizes", "n", "checks", "bits"])
+
+    return run
+
+
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of each whole text, then ``end_id``, to a store at ``path``, documents in ascending order of id.
 
     Null ids come first; rows of one id follow each other in order of their texts; null and empty texts are the end
-    id alone. An empty table gives a store without blocks. A store is written whole: counts are of all documents.
+    id alone. An empty table gives a store without blocks. A store is written whole: texts are tokenised once, to a
+    table of plain ids that counts and codes are made from and that goes in the end.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = rows.select("text").mapInArrow(_count(tokenizer, end_id), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    kind = docs.schema[id_col].dataType.simpleString()
+    arrow_kind = pa.string() if kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[kind]
+    head = f"shard int, block int, before bigint, docs array<{kind}>, sizes array<bigint>, n bigint"
+    plain = cut(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_tokenise(tokenizer, end_id, arrow_kind), f"{head}, ids binary"), "plain-ids", "zstd")
+    counted = plain.select("n", "ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     used, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(used.max(initial=-1)) + 1, np.int64)
     counts[used] = n
     lengths = code_lengths(counts)
     known = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(known.astype(np.int32)), "bits": pa.array(lengths[known].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codes")
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow_kind = pa.string() if kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[kind]
-    schema = f"shard int, block int, before bigint, docs array<{kind}>, sizes array<bigint>, n bigint, checks array<bigint>, bits binary"
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_encode(tokenizer, end_id, lengths, arrow_kind), schema).write.parquet(f"{path}/blocks")
+    plain.mapInArrow(_encode(lengths), f"{head}, checks array<bigint>, bits binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    forget(plain)
 
 
 def _decode(lengths: np.ndarray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, chunks, cut, forget, gram_hashes, prepare, ranges, scan_words, utf8
+from .common import chunks, cut, forget, free_name, gram_hashes, prepare, ranges, scan_words, utf8
 from .fmindex import FMIndex, repeated_windows
 
 #: Words that one shard indexes, about; occurrences from which an anchor's windows are dealt out one by one.
@@ -99,39 +99,61 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def _cut(window: int, gram: int):
-    """Rows (id, key, text, weight, places, hot) to stretches (route, stretch, core, id, start, weight)."""
+    """Rows (id, key, text, weight, places, hot) to stretches (route, stretch, core, weight, ids, starts).
+
+    Equal stretches of a batch are one row with the places where they stand: what many documents share is merged
+    before it is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            ids, keys = batch.column(0), batch.column(1).to_pylist()
-            weights, places, hots = batch.column(3).to_pylist(), batch.column(4), batch.column(5)
+            keys, weights = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            number: dict[bytes, int] = {}
+            routes, cores, which, rows, begins = [], [], [], [], []
             for i in range(batch.num_rows):
                 part = data[offsets[i] : offsets[i + 1]]
                 if hashlib.blake2b(part, digest_size=16).digest() != keys[i]:
                     continue  # another text under the same id
                 words, starts, ends, _ = scan_words(part, np.array([0, len(part)]))
                 hashes, at, first, final = anchors(words, window, gram)
-                listed, hot = np.array(places[i].values), np.array(hots[i].values)
+                listed, hot = np.array(batch.column(4)[i].values), np.array(batch.column(5)[i].values)
                 mine = np.isin(listed, at)
                 where, hot = np.searchsorted(at, listed[mine]), hot[mine]
                 begin, route = first[where], hashes[where]
                 count = final[where] - begin + 1
                 if hot.any():
                     each = np.where(hot, count, 1)
-                    begin = np.repeat(begin, each) + np.where(np.repeat(hot, each), ranges(np.zeros(len(each), np.int64), each), 0)
+                    deal = np.repeat(hot, each)
+                    begin = np.repeat(begin, each) + np.where(deal, ranges(np.zeros(len(each), np.int64), each), 0)
                     own = gram_hashes(words, window)
-                    route = np.where(np.repeat(hot, each), own[begin], np.repeat(route, each))
-                    count = np.where(np.repeat(hot, each), 1, np.repeat(count, each))
+                    route = np.where(deal, own[begin], np.repeat(route, each))
+                    count = np.where(deal, 1, np.repeat(count, each))
                     where = np.repeat(where, each)
+                raw, core = part.tobytes(), (at[where] + gram - begin).tolist()
                 stop = begin + count - 1 + window
-                raw = part.tobytes()
-                pieces = [raw[s:e] for s, e in zip(starts[begin].tolist(), ends[stop - 1].tolist(), strict=True)]
-                n = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route.view(np.int64)), pa.array(pieces, pa.binary()), pa.array((at[where] + gram - begin).astype(np.int32)), pa.repeat(ids[i], n), pa.array(begin.astype(np.int32)), pa.array(np.full(n, weights[i]), pa.int64())],
-                    names=["route", "stretch", "core", "id", "start", "weight"],
-                )
+                for s, e, c, r in zip(starts[begin].tolist(), ends[stop - 1].tolist(), core, route.tolist(), strict=True):
+                    k = number.setdefault(raw[s:e], len(number))
+                    if k == len(cores):
+                        cores.append(c)
+                        routes.append(r)
+                    which.append(k)
+                rows.append(np.full(len(begin), i))
+                begins.append(begin)
+            if not number:
+                continue
+            of, row = np.array(which), np.concatenate(rows)
+            order = np.argsort(of, kind="stable")
+            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(number)))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array(routes, np.uint64).view(np.int64)), pa.array(list(number), pa.binary()), pa.array(cores, pa.int32()),
+                    pa.array(np.bincount(of, np.array(weights)[row], len(number)).astype(np.int64)),
+                    pa.ListArray.from_arrays(at, batch.column(0).take(pa.array(row[order]))),
+                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(begins)[order].astype(np.int32))),
+                ],
+                names=["route", "stretch", "core", "weight", "ids", "starts"],
+            )
 
     return run
 
@@ -143,15 +165,18 @@ def _search(window: int):
         number: dict[bytes, int] = {}
         cores, weights, which, ids, begins = [], [], [], [], []
         for batch in batches:
-            for piece, core, weight in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            own = []
+            for piece, core, weight in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 k = number.setdefault(piece, len(number))
                 if k == len(cores):
                     cores.append(core)
                     weights.append(0)
                 weights[k] += weight
-                which.append(k)
-            ids.append(batch.column(3))
-            begins.append(np.array(batch.column(4)))
+                own.append(k)
+            places = batch.column(5)
+            which.append(np.repeat(own, np.diff(np.array(places.offsets))))
+            ids.append(batch.column(4).flatten())
+            begins.append(np.array(places.flatten()))
         if not which:
             return
         data = np.frombuffer(b"".join(number), np.uint8)
@@ -180,7 +205,7 @@ def _search(window: int):
         close = flags & ~np.concatenate([flags[1:] & (owner[1:] == owner[:-1]), [False]])
         run_owner, run_from, run_to = owner[open_], within[open_], within[close] + window
         run_at = np.searchsorted(run_owner, np.arange(n + 1))
-        of = np.array(which)
+        of = np.concatenate(which)
         runs = run_at[of + 1] - run_at[of]
         rows, picks = np.repeat(np.arange(len(of)), runs), ranges(run_at[of], runs)
         start = np.concatenate(begins)[rows]
@@ -239,7 +264,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     shards = max(1, -(-total * (window + (window - gram) // 2) // SHARD_WORDS))
     keyed = back.join(classes.withColumnRenamed("rep", "id"), "id")
     rows = keyed.join(source, "id").select("id", "key", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
-    pieces = rows.mapInArrow(_cut(window, gram), f"route bigint, stretch binary, core int, id {kind}, start int, weight bigint")
+    pieces = rows.mapInArrow(_cut(window, gram), f"route bigint, stretch binary, core int, weight bigint, ids array<{kind}>, starts array<int>")
     spans = pieces.repartition(int(shards), "route").mapInArrow(_search(window), f"id {kind}, begin int, end int")
     spans = cut(spans.groupBy("id").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
     keyed = spans.join(classes.select("key", F.col("rep").alias("id")), "id")
@@ -259,8 +284,7 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found, classes, pruned = _analyse(docs, id_col, text_col, window, gram)
     results = cut(pruned.dropDuplicates(["key"]).select("key", "n_removed", "sum"), "pruned")
     return (
-        found.join(classes.select("key", "n"), "key")
-        .join(results, "key", "left")
+        found.join(results, "key", "left")
         .select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sum", "whole").alias("kept_sha256"))
     )
 
@@ -274,7 +298,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found, classes, pruned = _analyse(docs, id_col, text_col, window, gram)
     results = cut(pruned.dropDuplicates(["key"]).select("key", "left", "n_removed"), "pruned")
     changed = classes.join(results, "key").select("rep", "key", "left")
-    ids = cut(found.join(changed.select("key", "left"), "key").select(F.col("id").alias("_quern_id"), "left").dropDuplicates(["_quern_id"]), "changed")
-    whole = docs.join(ids, F.col(id_col) == F.col("_quern_id"), "left")
-    out = whole.withColumn(text_col, F.when(F.col("_quern_id").isNull(), F.col(text_col)).otherwise(F.col("left"))).where(F.col("_quern_id").isNull() | (F.length("left") > 0))
+    own, left = free_name(docs, "_quern_id"), free_name(docs, "_quern_left")
+    ids = cut(found.join(changed.select("key", "left"), "key").select(F.col("id").alias(own), F.col("left").alias(left)).dropDuplicates([own]), "changed")
+    whole = docs.join(ids, F.col(id_col) == F.col(own), "left")
+    out = whole.withColumn(text_col, F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.col(left))).where(F.col(own).isNull() | (F.length(left) > 0))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import numbered, prepare
 from .tokens import text_chunks
 
 #: Components of a vector; longest n-gram; documents of each language to cluster, about; centroids of each language.
@@ -195,6 +195,6 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     if model is None:
         return docs.select(*kept).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, rejected boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*kept, F.col(text_col).alias("_quern_text")).mapInArrow(_predict(shared), schema)
+    rows, schema = numbered(docs, kept, text_col)
+    return rows.mapInArrow(_predict(shared), f"{schema}lang_pred string, score double, rejected boolean").toDF(*kept, "lang_pred", "score", "rejected")

@@ -36,12 +36,14 @@ _ADD = _SEED.integers(0, 1 << 32, 512, dtype=np.uint32)
 def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows, hence fewest false candidates, with which a pair at ``threshold`` still shares
     a band with probability ``recall`` within ``most_hashes`` hash functions."""
-    best = (max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - threshold)))) if threshold < 1 else 1, 1)
-    for rows in range(1, most_hashes + 1):
-        hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-        if bands * rows <= most_hashes:
-            best = (bands, rows)
+    if threshold >= 1:
+        return 1, most_hashes
+    best = (max(1, math.ceil(math.log(1 - recall) / math.log1p(-threshold))), 1)
+    for rows in range(2, most_hashes + 1):
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
+        if bands * rows > most_hashes:
+            break
+        best = (bands, rows)
     return best
 
 

@@ -9,7 +9,7 @@ a stored ratio (the 8-gram was seen), the ratio of back-off weights (its context
 A document is compared by length-normalised log-likelihoods: their mean per word over the whole text, over its best
 window of 64 words, over the hundredth of its words (and over the three) that most favour toxicity, and the weight of
 all words that do so clearly, as such and by the root of the length. A long text thus doesn't dilute what it holds. A
-logistic regression on documents that the counts have not seen turns these into a score.
+logistic regression turns these into a score; for it each document is scored by counts that have not seen it.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, ranges, scan_words, utf8
+from .common import chunks, numbered, prepare, ranges, scan_words, utf8
 
 #: Labelled documents of each class that are learned from, about. A text's hash picks them where there are more.
-MOST_ROWS = 8_000
+MOST_ROWS = 4_000
 ORDER, DISCOUNT, WINDOW = 8, 0.9, 64
-#: One document in so many fits the scale of scores instead of the counts.
-FOLD = 5
+#: Parts of the labelled documents: each is scored by the counts of the others to fit the scale of scores.
+FOLDS = 3
 FEATURES = 6
 
 
@@ -131,35 +131,40 @@ def features(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic) to counts of 8-grams: (gram, toxic, ordinary)."""
+    """Rows (text, toxic, fold) to counts of 8-grams: (gram, fold, toxic, ordinary)."""
     for batch in batches:
         data, offsets = _lowered(batch.column(0))
-        toxic = np.array(batch.column(1).to_pylist(), float)
+        toxic, fold = np.array(batch.column(1).to_pylist(), float), np.array(batch.column(2).to_pylist())
         for a, b in chunks(offsets):
             part = data[offsets[a] : offsets[b]]
             starts, ends, inverse, first = _unique_words(part, offsets[a : b + 1] - offsets[a])
             if not len(starts):
                 continue
-            label = np.repeat(toxic[a:b], np.diff(first))
-            many = np.stack([np.bincount(inverse, label, len(starts)), np.bincount(inverse, 1 - label, len(starts))])
             grams, owner = word_grams(part, starts, ends)
-            keys, yes, no = _sum_by(grams, many[0][owner], many[1][owner])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes.astype(np.int64)), pa.array(no.astype(np.int64))], names=["gram", "toxic", "ordinary"])
+            for k in range(FOLDS):
+                own, label = (np.repeat(x, np.diff(first)) for x in (fold[a:b] == k, toxic[a:b]))
+                many = [np.bincount(inverse, own * x, len(starts))[owner] for x in (label, 1 - label)]
+                held = (many[0] > 0) | (many[1] > 0)
+                keys, yes, no = _sum_by(grams[held], many[0][held], many[1][held])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), k, np.int32)), pa.array(yes.astype(np.int64)), pa.array(no.astype(np.int64))], names=["gram", "fold", "toxic", "ordinary"])
 
 
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        models = shared.value
         for batch in batches:
             data, offsets = _lowered(batch.column(0))
+            fold = np.array(batch.column(2).to_pylist())
             for a, b in chunks(offsets):
-                x = features(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                every = np.stack([features(m, part, at) for m in models])
+                x = every[fold[a:b], np.arange(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, k].copy()) for k in range(FEATURES)] + [batch.column(1).slice(a, b - a).cast(pa.int32())], names=[*(f"x{k}" for k in range(FEATURES)), "toxic"])
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     w = np.zeros(x.shape[1])
     pull = ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
@@ -186,13 +191,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return None
     share: Column = F.when(F.col("_toxic") == 1, F.lit(most_rows / sizes[1])).otherwise(F.lit(most_rows / sizes[0]))
     taken = marked.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.join(F.broadcast(taken), F.col(id_col) == F.col("_id")).select(F.coalesce(text_col, F.lit("")).alias("text"), "_toxic")
-    fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLD)) == 0
-    counted = rows.where(~fold).mapInArrow(_count, "gram bigint, toxic bigint, ordinary bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(taken), "_id").select("text", "_toxic")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)).cast("int"))
+    counted = rows.mapInArrow(_count, "gram bigint, fold int, toxic bigint, ordinary bigint").groupBy("gram", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     table = counted.toArrow()
-    model = fit_ratios(*(table.column(k).to_numpy().view(np.uint64) if k == 0 else table.column(k).to_numpy() for k in range(3)))
-    shared = spark.sparkContext.broadcast(model)
-    seen = rows.where(fold).mapInArrow(_features(shared), ", ".join(f"x{k} double" for k in range(FEATURES)) + ", toxic int").toArrow()
+    grams, part, *counts = (table.column(k).to_numpy() for k in range(4))
+    grams = grams.view(np.uint64)
+    del table
+    model = fit_ratios(*_sum_by(grams, *counts))
+    others = [fit_ratios(*_sum_by(grams[part != k], *(c[part != k] for c in counts))) for k in range(FOLDS)]
+    shared = spark.sparkContext.broadcast(others)
+    seen = rows.mapInArrow(_features(shared), ", ".join(f"x{k} double" for k in range(FEATURES)) + ", toxic int").toArrow()
     x = np.stack([*(seen.column(k).to_numpy() for k in range(FEATURES)), np.ones(seen.num_rows)], 1)
     y = seen.column(FEATURES).to_numpy().astype(float)
     shared.destroy()
@@ -206,7 +216,7 @@ def _score(shared):
         for batch in batches:
             data, offsets = _lowered(batch.column(batch.num_columns - 1))
             scores = [1 / (1 + np.exp(-np.clip(features(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) @ model.scale, -30, 30))) for a, b in chunks(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*batch.schema.names[:-1], "_quern_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -221,9 +231,9 @@ def toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", sc
     if model is None:
         return docs.drop(score_col).withColumn(score_col, F.lit(0.0))
     kept = [c for c in docs.columns if c != score_col]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", _quern_score double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*kept, F.col(text_col).alias("_quern_text")).mapInArrow(_score(shared), schema).withColumnRenamed("_quern_score", score_col)
+    rows, schema = numbered(docs, kept, text_col)
+    return rows.mapInArrow(_score(shared), f"{schema}score double").toDF(*kept, score_col)
 
 
 def in_fold(id_col: str, of: int, held: int) -> Column:

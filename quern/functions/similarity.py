@@ -34,7 +34,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the lower-case alphanumeric words, each after two blanks and before one."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

@@ -16,11 +16,16 @@ from pyspark.sql import types as T
 #: Unicode White_Space, which trims and blank tests use.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPACE_CLASS = r"[\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_INLINE_CLASS = _SPACE_CLASS.replace(r"\n", "")
 #: What separates terms of a literal query, and of the plain tokenizer.
 LEX_SEPARATORS = r'[ \t\n，。？！；、"“”]+'
 PLAIN_SEPARATORS = r"[ \t\n，。？！；、]+"
 #: Characters of which a token must consist to be indexed.
 INDEXED = r"^[\x{4E00}-\x{9FFF}A-Za-z0-9'·θπαβγ]+$"
+_CJK = r"[\x{4E00}-\x{9FFF}]"
+#: Marks at the ends of a word.
+_MARKS = r"[.,;:!?()\[\]{}\"“”，。？！；、：（）]"
+_LATIN_TOKEN = rf"(?<![^\s]){_MARKS}*+([A-Za-z0-9'·θπαβγ]{{2,}}+){_MARKS}*+(?![^\s])"
 #: What marks a reply as a refusal.
 REFUSAL_MARKERS = ["没有找到", "未找到", "无法回答", "找不到", "抱歉", "没有相关", "未收录", "没有检索到", "不存在于", "not found"]
 
@@ -37,10 +42,8 @@ def is_blank(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Line ends to LF, no-break space to space, no NUL; each line trimmed; runs of blank lines to one; trimmed."""
     out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\x00", "")
-    out = F.regexp_replace(out, "\xa0", " ")
-    lines = F.transform(F.split(out, "\n", -1), trimmed)
-    out = F.array_join(lines, "\n")
-    return trimmed(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    out = F.regexp_replace(out, rf"(?md)^{_INLINE_CLASS}+|{_INLINE_CLASS}+$", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(out, "\xa0", " "), "\n{3,}", "\n\n"))
 
 
 def clean_text(text: Column) -> Column:
@@ -74,16 +77,20 @@ def tokens(text: Column) -> Column:
     """Index tokens in order: runs of letters and digits, and overlapping pairs of each run of CJK characters.
 
     A dictionary segmenter can take this function's place; pairs keep every two-character word findable. Tokens of
-    one character, and those with a character that is never indexed, are left out.
+    one character, and those with a character that is never indexed, are left out. Texts without CJK characters, the
+    most, need one pass of one pattern.
     """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\x{4E00}-\x{9FFF}]+|[^\s\x{4E00}-\x{9FFF}]+"), F.lit(0))
-    parts = F.transform(
+    whole = F.coalesce(text, F.lit(""))
+    latin = F.regexp_extract_all(whole, F.lit(_LATIN_TOKEN), F.lit(1))
+    runs = F.regexp_extract_all(whole, F.lit(rf"{_CJK}+|[^\s{_CJK[1:]}+"), F.lit(0))
+    pairs = F.transform(
         runs,
-        lambda r: F.when(
-            F.rlike(r, F.lit(r"^[\x{4E00}-\x{9FFF}]{3,}")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-        ).otherwise(F.array(F.regexp_replace(r, r"^[.,;:!?()\[\]{}\"“”，。？！；、：（）]+|[.,;:!?()\[\]{}\"“”，。？！；、：（）]+$", ""))),
+        lambda r: F.when(F.rlike(r, F.lit(f"^{_CJK}{{3,}}")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))).otherwise(
+            F.array(F.regexp_replace(r, rf"^{_MARKS}+|{_MARKS}+$", ""))
+        ),
     )
-    return F.filter(F.flatten(parts), lambda t: (F.length(t) >= 2) & F.rlike(t, F.lit(INDEXED)))
+    mixed = F.filter(F.flatten(pairs), lambda t: (F.length(t) >= 2) & F.rlike(t, F.lit(INDEXED)))
+    return F.when(F.rlike(whole, F.lit(_CJK)), mixed).otherwise(latin)
 
 
 def search_string(text: Column) -> Column:

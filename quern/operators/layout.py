@@ -52,7 +52,8 @@ class Glyphs:
 
 @dataclass
 class Line:
-    """``join``: how it follows the line before: ``break``, ``hyphen`` (which goes), ``space`` or ``none``."""
+    """``join``: how it follows the line before: ``break``, ``hyphen`` (which goes), ``space`` or ``none``. ``text`` and
+    ``size`` are those of its glyphs."""
 
     y: float
     column: int
@@ -60,6 +61,8 @@ class Line:
     x0: float
     x1: float
     join: str = "none"
+    text: str = ""
+    size: float = 0.0
 
 
 def font_size(g: Glyphs, idx: np.ndarray) -> float:
@@ -169,6 +172,7 @@ def lines_of(g: Glyphs, rows: list[np.ndarray], gutter: tuple[float, float] | No
             lines.append(latest[column])
     for line in lines:
         line.idx = _restore_marks(g, line.idx[np.argsort(g.x[line.idx], kind="stable")])
+        line.text, line.size = line_text(g, line.idx), font_size(g, line.idx)
     return lines
 
 
@@ -187,17 +191,17 @@ def _in_order(lines: list[Line]) -> list[Line]:
     return out
 
 
-def _without_fragments(g: Glyphs, lines: list[Line]) -> list[Line]:
-    sizes = [font_size(g, line.idx) for line in lines]
+def _without_fragments(lines: list[Line]) -> list[Line]:
+    sizes = [line.size for line in lines]
     beside = [max(sizes[i - 1] if i else 0.0, sizes[i + 1] if i + 1 < len(sizes) else 0.0) for i in range(len(sizes))]
-    return [line for line, size, near in zip(lines, sizes, beside, strict=True) if not (near > 0 and size < FRAGMENT * near and len(line_text(g, line.idx)) <= 2)]
+    return [line for line, size, near in zip(lines, sizes, beside, strict=True) if not (near > 0 and size < FRAGMENT * near and len(line.text) <= 2)]
 
 
-def _join(g: Glyphs, before: Line, line: Line, right: float, left: float) -> str:
-    a, b = line_text(g, before.idx), line_text(g, line.idx)
+def _join(before: Line, line: Line, right: float, left: float) -> str:
+    a, b = before.text, line.text
     if not a or not b:
         return "break"
-    em = font_size(g, line.idx) or font_size(g, before.idx) or 10.0
+    em = line.size or before.size or 10.0
     if (left > 0 and line.x0 - left >= INDENT * em) or (right > 0 and right - before.x1 >= INDENT * em):
         return "break"
     if len(a) > 1 and a.endswith("-") and b[0] in _LATIN:
@@ -219,10 +223,10 @@ def reading_order(page: Glyphs) -> list[Line]:
     for column in (LEFT, RIGHT):
         own = [line for line in lines if line.column == column]
         edges[column] = (min(line.x0 for line in own), max(line.x1 for line in own)) if own else (x0, x1)
-    lines = _without_fragments(g, _in_order(lines))
+    lines = _without_fragments(_in_order(lines))
     for before, line in zip(lines, lines[1:], strict=False):
         full = FULL in (before.column, line.column)
-        line.join = "break" if full else _join(g, before, line, edges[before.column][1], edges[line.column][0])
+        line.join = "break" if full else _join(before, line, edges[before.column][1], edges[line.column][0])
     for line in lines:
         line.idx = there[line.idx]
     return lines
@@ -234,7 +238,7 @@ def page_text(page: Glyphs) -> str:
     for n, line in enumerate(reading_order(page)):
         if n:
             out = follow(out, line.join)
-        out += line_text(page, line.idx)
+        out += line.text
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -148,6 +149,7 @@ def render_table(g: Glyphs, ys: np.ndarray, xs: np.ndarray, idx: np.ndarray) ->
 # ---------------------------------------------------------------- formulas
 
 
+@lru_cache(4096)
 def is_math_font(font: str) -> bool:
     return any(part in font.lower() for part in MATH_FONTS)
 

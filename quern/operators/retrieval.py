@@ -177,8 +177,10 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     and whole query, ``k`` of each. Every chunk is compared with every query's terms: literal matching has no key."""
     asked = with_defaults(queries).select("qid", "user_id", "document_ids", lex_terms(F.col("text")).alias("terms"), trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
     asked = asked.where(F.size("terms") > 0)
-    met = chunks.select(*KEY, "user_id", "content").alias("c").join(asked.alias("q"), in_scope() & any_term(F.col("c.content"), F.col("q.terms")))
-    scored = met.select("qid", *(F.col(f"c.{c}") for c in KEY), F.round(set_similarity(trigrams(F.col("c.content")), F.col("q.grams")), 6).alias("score"))
+    hit = in_scope() & any_term(F.col("c.content"), F.col("q.terms"))
+    held = chunks.select(*KEY, "user_id", "content", trigrams(F.col("content")).alias("grams"))  # once for each chunk, however many ask
+    met = held.alias("c").join(asked.alias("q"), hit)
+    scored = met.select("qid", *(F.col(f"c.{c}") for c in KEY), F.round(set_similarity(F.col("c.grams"), F.col("q.grams")), 6).alias("score"))
     return top(scored, k)
 
 

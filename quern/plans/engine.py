@@ -17,6 +17,7 @@ from ..operators.chunking import assemble, chunk_documents
 from ..operators.evaluation import retrieval_metrics, summary
 from ..operators.pages import documents_of, extract_blocks, page_texts
 from ..operators.retrieval import hybrid_search, rerank, stored_chunks, trigram_scorer
+from ..session import ship
 from ..sources.config import Config
 from ..sources.pdf import parse_files, read_files
 from ..sources.store import Store
@@ -57,6 +58,7 @@ class Engine:
         self, spark: SparkSession, path: str, config: Config | None = None, *,
         embedder: Callable[[list[str]], list[list[float]]] | None = None, scorer: Callable[[Column, Column], Column] = trigram_scorer, generator=None,
     ) -> None:
+        ship(spark)
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, path, {"documents": dml.DOCUMENTS, "chunks": dml.CHUNKS, "verdicts": dml.VERDICTS})
         self.embed = embed(embedder or hashing_embedder(self.config.ai.embedding.dimension), self.config.ai.embedding.batch_size)

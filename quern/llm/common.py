@@ -7,16 +7,16 @@ Python object is made per word.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows and bytes of an Arrow batch that goes to Python: bounds a worker's memory whatever the length of texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that the kernels take at a time, unless one document is longer.
@@ -27,19 +27,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and make this package importable on executors, once for each context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_quern_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(), "quern.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    sc.addPyFile(archive)
-    sc._quern_shipped = True
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         name,
     )
-    state = None
+
+    def signature(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+
+    state = signature(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
@@ -32,7 +36,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = cut(joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
         forget(now, large, least)
         now = small
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        seen = signature(now)
         if seen == state:
             break
         state = seen

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import chunks, numbered, prepare, ranges, scan_words, utf8
 
 #: Labelled documents of each class that are learned from, about. A text's hash picks them where there are more.
-MOST_ROWS = 4_000
+MOST_ROWS = 2_500
 ORDER, DISCOUNT, WINDOW = 8, 0.9, 64
 #: Parts of the labelled documents: each is scored by the counts of the others to fit the scale of scores.
 FOLDS = 3

@@ -139,16 +139,27 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int, *, threshold: f
 # ---------------------------------------------------------------- full text
 
 
-def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def inverted_index(chunks: DataFrame) -> DataFrame:
+    """(t, document_id, page, idx, places): where each token stands. Written by token (``repartition("t")``, or a bucketed
+    table), it spares every later search the scan of all texts."""
+    held = F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"))
+    places = chunks.select(*KEY, F.posexplode(held).alias("p", "raw")).select(*KEY, "p", F.lower("raw").alias("t"))
+    return places.groupBy("t", *KEY).agg(F.array_sort(F.collect_list("p")).alias("places"))
+
+
+def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int, *, index: DataFrame | None = None) -> DataFrame:
     """(qid, key, score, rank): chunks that hold every token of the query, by text rank, ``k`` of each.
 
     Tokens meet by equality, so this is a hash join on tokens, not a scan of all pairs; only places of a query's
-    tokens are gathered by chunk. Queries without a token match nothing.
+    tokens are gathered by chunk. Queries without a token match nothing. ``index``: an ``inverted_index`` of ``chunks``.
     """
     wanted = with_defaults(queries).select("qid", "user_id", "document_ids", F.array_distinct(F.transform(tokens(F.col("text")), F.lower)).alias("wanted"))
     terms = wanted.select("qid", F.size("wanted").alias("many"), F.explode("wanted").alias("t"))
-    held = F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"))
-    places = chunks.select(*KEY, F.posexplode(held).alias("p", "raw")).select(*KEY, "p", F.lower("raw").alias("t"))
+    if index is None:
+        held = F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"))
+        places = chunks.select(*KEY, F.posexplode(held).alias("p", "raw")).select(*KEY, "p", F.lower("raw").alias("t"))
+    else:
+        places = index.join(terms.select("t").distinct(), "t", "left_semi").select(*KEY, "t", F.explode("places").alias("p"))
     hits = places.join(terms, "t").groupBy("qid", "many", *KEY).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("hits"))
     full = hits.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["t"]))) == F.col("many"))
     scoped = full.join(chunks.select(*KEY, "user_id"), KEY).alias("c").join(wanted.alias("q"), "qid").where(in_scope())

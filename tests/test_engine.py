@@ -1,11 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quern.__main__ import main
 from quern.functions.text import normalize_text_py
+from quern.operators.evaluation import span_p95
 from quern.operators.layout import Glyphs
 from quern.operators.pages import bad_fonts, extract_blocks, page_texts
 from quern.operators.regions import page_blocks
 from quern.plans.engine import Engine, NotAllowed, NotFound, Question
+from quern.plans.spans import SpanLog
 from quern.sources.config import Config, InvalidConfig, expand, load, load_dotenv
 from quern.sources.pdf import parse_files, parse_pdf, trim_trailing_junk
 from quern.streaming.ingest import file_stream, ingest_stream, span_windows
@@ -137,3 +140,30 @@ def test_config():
         load("rag: {chunk_size: 100, chunk_overlap: 100}")
     with pytest.raises(InvalidConfig):
         load("ai: {rerank: {enabled: true}}")
+
+
+def test_spans(spark, tmp_path):
+    log = SpanLog("run")
+    with log.request("r1"), log.span("embed", n=2) as tags:
+        tags["more"] = 1
+    with pytest.raises(KeyError), log.span("bad"):
+        raise KeyError("x")
+    rows = {x.name: x for x in log.frame(spark).collect()}
+    assert (rows["embed"].rid, rows["embed"].run_id, rows["embed"].ok, rows["embed"].tags) == ("r1", "run", True, {"n": "2", "more": "1"})
+    assert not rows["bad"].ok and "KeyError" in rows["bad"].error and rows["bad"].rid == ""
+    log.flush(spark, str(tmp_path / "spans"))
+    assert log.rows == [] and span_p95(spark.read.parquet(str(tmp_path / "spans")), "run_id").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(pdf(text(72, 700, "Steel tubes.")))
+    base = ["--store", str(tmp_path / "store"), "--admin", "root"]
+    assert main([*base, "--user", "u", "ingest", str(tmp_path / "in")], spark) == 0
+    capsys.readouterr()
+    assert main([*base, "--user", "u", "search", "Steel"], spark) == 0
+    assert "a.pdf" in capsys.readouterr().out
+    assert main([*base, "--user", "u", "ask", "Steel"], spark) == 2
+    assert main([*base, "--user", "root", "ask", "Steel"], spark) == 0
+    assert main([*base, "--user", "u", "delete", "nope"], spark) == 2
+    assert main([*base, "--user", "u", "list"], spark) == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -9,18 +11,36 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to all executors, once for each context; Spark's own file server hands it out."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quern_shipped", False):
-        return
+def _archive() -> bytes:
     top = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(), "quern.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(top):
-            for name in names:
+            for name in sorted(names):
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    sc.addPyFile(archive)
+    return held.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to all executors, once for each context: through the folder in spark.checkpoint.dir, which
+    all machines share; where that is unset, as in tests, from a temporary file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    data = _archive()
+    name = f"quern-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        path = os.path.join(tempfile.mkdtemp(), name)
+        with open(path, "wb") as f:
+            f.write(data)
+    else:
+        path = f"{folder.rstrip('/')}/{sc.applicationId}-{name}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path)
     sc._quern_shipped = True

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 #: Rows and bytes of an Arrow batch that goes to Python: bounds a worker's memory whatever the length of texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Bytes of text that the kernels take at a time, unless one document is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:

@@ -175,7 +175,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     family = cut(components(ties, "family").join(classes.select(F.col("digest").alias("node"), "rep", "n", "grams"), "node"), "families")
     sizes = family.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = family.join(cut(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = placed.join(source, F.col("rep") == F.col("id")).select(
+    texts = source.join(placed.hint("shuffle_hash"), F.col("rep") == F.col("id")).select(  # texts aren't sorted
         "root", F.col("node").alias("digest"), "n", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("root", "digest", "n", "text", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     checked = cut(texts.groupBy("root", "low", "high").applyInPandas(_verify(n, threshold), "a binary, b binary, links bigint"), "checked")
@@ -197,7 +197,9 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class, all columns kept; of repeated rows one stays."""
     joined = ngram_jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold, recall=recall)
-    ids = joined.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(ids, id_col, "left_semi")
+    least = cut(joined.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count("*").alias("rows")), "least")
+    kept = docs.join(least.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
+    if not least.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
     nameless = docs.where(F.col(id_col).isNull())
-    return kept.dropDuplicates([id_col]).unionByName(nameless)
+    return kept.unionByName(nameless)

@@ -263,12 +263,12 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     total = back.agg(F.sum(F.size("x"))).first()[0] or 0
     shards = max(1, -(-total * (window + (window - gram) // 2) // SHARD_WORDS))
     keyed = back.join(classes.withColumnRenamed("rep", "id"), "id")
-    rows = keyed.join(source, "id").select("id", "key", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
+    rows = source.join(keyed.hint("shuffle_hash"), "id").select("id", "key", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
     pieces = rows.mapInArrow(_cut(window, gram), f"route bigint, stretch binary, core int, weight bigint, ids array<{kind}>, starts array<int>")
     spans = pieces.repartition(int(shards), "route").mapInArrow(_search(window), f"id {kind}, begin int, end int")
     spans = cut(spans.groupBy("id").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
     keyed = spans.join(classes.select("key", F.col("rep").alias("id")), "id")
-    pruned = keyed.join(source, "id").select("key", "text", "begins", "ends").mapInArrow(_prune, "key binary, left string, n_removed bigint, sum string")
+    pruned = source.join(keyed.hint("shuffle_hash"), "id").select("key", "text", "begins", "ends").mapInArrow(_prune, "key binary, left string, n_removed bigint, sum string")
     return found.select("id", "key", "n_words", "whole"), classes, pruned
 
 
@@ -300,6 +300,6 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     changed = classes.join(results, "key").select("rep", "key", "left")
     own, left = free_name(docs, "_quern_id"), free_name(docs, "_quern_left")
     ids = cut(found.join(changed.select("key", "left"), "key").select(F.col("id").alias(own), F.col("left").alias(left)).dropDuplicates([own]), "changed")
-    whole = docs.join(ids, F.col(id_col) == F.col(own), "left")
+    whole = docs.join(ids.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left")
     out = whole.withColumn(text_col, F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.col(left))).where(F.col(own).isNull() | (F.length(left) > 0))
     return out.select(*docs.columns)

@@ -3,7 +3,9 @@
 Pieces are dealt by hash into groups of bounded size. Each group is packed by best fit, longest first, then improved:
 pieces move from emptier to fuller bins, or one or two pieces are exchanged for one, whenever that raises the sum of
 squared fills, until bins run empty or no such step is left. What stands in clearly underfull bins goes on to a
-round of fewer groups, till one is left; so what is wasted is a fraction of one bin for each group of thousands.
+round of fewer groups, till one is left or a round places less than a quarter of its pieces: what is then left hardly
+fits together, and the bins of that round are final. So rounds end, and what is wasted beyond what the lengths
+themselves forbid is a fraction of one bin for each group of thousands.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .tokens import opened, text_chunks
 
 #: Pieces of a group, about. Bins with at least 1/SLACK of their room free go on to the next round.
 GROUP, SLACK = 4096, 64
+#: Least share of its pieces that a round has to place for another to follow. Keys that a task remembers.
+PROGRESS, SEEN = 0.25, 200_000
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -98,11 +102,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = opened(path)
+        seen: dict[tuple, int] = {}
         for batch in batches:
             ids = batch.column(0)
             for row, texts in text_chunks(batch.column(1)):
                 flat, at = tokens.encode(texts)
-                which, number, start, length, sums = [], [], [], [], []
+                which, number, start, length, sums, salt = [], [], [], [], [], []
+                names = [repr(x) for x in ids.slice(row, len(texts)).to_pylist()]
                 for i in range(len(texts)):
                     own = np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
                     for k, a in enumerate(range(0, len(own), capacity)):
@@ -112,27 +118,34 @@ def _pieces(path: str, end_id: int, capacity: int):
                         start.append(a)
                         length.append(len(part))
                         sums.append(zlib.crc32(part))
+                        key = names[i], k, sums[-1]
+                        salt.append(seen.get(key, 0))
+                        seen[key] = salt[-1] + 1
+                if len(seen) > SEEN:
+                    seen.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(which)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["id", "piece", "start", "length", "ids_crc32"],
+                    [ids.take(pa.array(which)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64()), pa.array(salt, pa.int64())],
+                    names=["id", "piece", "start", "length", "ids_crc32", "salt"],
                 )
 
     return run
 
 
-def _pack(capacity: int, last: bool, level: int):
+def _pack(capacity: int, level: int):
+    """Every piece has its place; ``full`` says whether its bin has too little room to go on."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
         lengths = pdf["length"].tolist()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
-        sequence, offset = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), np.int64)
+        sequence, offset, full = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
         base = (level << 56) | (int(pdf["grp"].iloc[0]) << 20)
         for b, items in enumerate(bins):
             sizes = [lengths[i] for i in items]
-            if last or capacity - sum(sizes) < capacity / SLACK:
-                sequence[items] = base + b
-                offset[items] = np.cumsum(sizes) - sizes
-        pdf["sequence_id"], pdf["offset"] = sequence, offset
+            sequence[items] = base + b
+            offset[items] = np.cumsum(sizes) - sizes
+            full[items] = capacity - sum(sizes) < capacity / SLACK
+        pdf["sequence_id"], pdf["offset"], pdf["full"] = sequence, offset, full
         return pdf.drop(columns="grp")
 
     return run
@@ -149,19 +162,21 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = 20
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    columns = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
     left = cut(docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer, end_id, capacity), columns), "pieces")
-    done, level = None, 0
+    done, level, count = None, 0, left.count()
     while True:
-        count = left.count()
         groups = max(1, -(-count // GROUP))
         level += 1
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
-        packed = cut(dealt.groupBy("grp").applyInPandas(_pack(capacity, groups == 1, level), f"{columns}, sequence_id bigint, offset bigint"), "packed")
+        # the salt parts repeated rows, which all else would send to one group
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "salt", F.lit(level)), F.lit(groups)))
+        packed = cut(dealt.groupBy("grp").applyInPandas(_pack(capacity, level), f"{columns}, sequence_id bigint, offset bigint, full boolean"), "packed")
         forget(left)
-        placed = packed.where("sequence_id >= 0")
+        open_ = packed.where("not full").count()
+        last = groups == 1 or open_ > (1 - PROGRESS) * count
+        placed = packed if last else packed.where("full")
         done = placed if done is None else done.unionByName(placed)
-        if groups == 1:
+        if last or not open_:
             break
-        left = cut(packed.where("sequence_id < 0").drop("sequence_id", "offset"), "left")
-    return done.withColumnRenamed("id", id_col)
+        left, count = cut(packed.where("not full").drop("sequence_id", "offset", "full"), "left"), open_
+    return done.drop("salt", "full").withColumnRenamed("id", id_col)

@@ -68,6 +68,27 @@ def test_packing_in_several_rounds(spark, monkeypatch):
     assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) + 2
 
 
+def test_rounds_end_when_nothing_fits_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    rounds, written = [], packing.cut
+
+    def counted(df, name):
+        rounds.append(name)
+        assert len(rounds) < 20, "the same table again and again"
+        return written(df, name)
+
+    monkeypatch.setattr(packing, "cut", counted)
+    text = next(t for n in range(200, 4000, 10) if len(opened(word_file()).tokenizer.encode(t := prose(1, n), add_special_tokens=False).ids) > 1400)
+    rows, sequences = packed(spark, spark.createDataFrame([(i, text) for i in range(100)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in rows) == list(range(100)) and len(sequences) == 100
+
+
+def test_repeated_rows_are_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    rows, sequences = packed(spark, spark.createDataFrame([(7, prose(1, 300))] * 200, "doc_id long, text string").coalesce(1))
+    assert len(rows) == 200 and len({r.sequence_id >> 20 for r in rows if r.sequence_id >> 56 == 1}) > 1
+
+
 def test_tokens_equal_the_librarys():
     t = opened(word_file())
     texts = ODD + [prose(i, 50) for i in range(20)]

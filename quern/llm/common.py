@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -71,6 +72,11 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: Column) -> Column:
+    """The 128-bit digest by which a text is known whatever its ids, as a native expression; empty for null."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.unhex(F.lit("")))
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 SPACE = np.zeros(256, bool)

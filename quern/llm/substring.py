@@ -5,6 +5,7 @@ anchors, so a window whose anchor occurs once in the corpus occurs once. That is
 neighbourhoods of repeated anchors:
 
 1. One pass finds each text's anchors. Texts equal byte for byte are counted and one of them goes on, with its weight.
+   A text is known by its digest, and in tables of places by the number of its first row: ids may repeat or be null.
 2. Anchors are counted; those that occur twice or more go back to their texts, which are cut into the stretches
    that their anchors own. A physical window lies in exactly one stretch.
 3. Stretches go to shards by anchor, so all copies of a window meet. An anchor that occurs very often sends each of
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, forget, free_name, gram_hashes, prepare, ranges, scan_words, utf8
+from .common import chunks, cut, forget, free_name, gram_hashes, prepare, ranges, scan_words, text_key, utf8
 from .fmindex import FMIndex, repeated_windows
 
 #: Words that one shard indexes, about; occurrences from which an anchor's windows are dealt out one by one.
@@ -64,16 +66,16 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
 
 def _find(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in chunks(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words, starts, ends, first = scan_words(part, at)
-                keys, sums, hashes, places, sizes = [], [], [], [], []
+                sums, hashes, places, sizes = [], [], [], []
                 spaced, shift = joined(part, starts, ends)
                 for i in range(b - a):
                     u, v = first[i], first[i + 1]
-                    keys.append(hashlib.blake2b(part[at[i] : at[i + 1]], digest_size=16).digest())
                     sums.append(hashlib.sha256(spaced[shift[u] : max(shift[u], shift[v] - 1)]).hexdigest())
                     h, p, _, _ = anchors(words[u:v], window, gram)
                     hashes.append(h)
@@ -81,10 +83,11 @@ def _find(window: int, gram: int):
                     sizes.append(len(h))
                 list_at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64()), pa.array(sums, pa.string()),
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.arange(number, number + b - a)), pa.array(np.diff(first), pa.int64()), pa.array(sums, pa.string()),
                      pa.ListArray.from_arrays(list_at, pa.array(np.concatenate(hashes).view(np.int64))), pa.ListArray.from_arrays(list_at, pa.array(np.concatenate(places).astype(np.int32)))],
-                    names=["id", "key", "n_words", "whole", "hashes", "places"],
+                    names=["id", "key", "row", "n_words", "whole", "hashes", "places"],
                 )
+                number += b - a
 
     return run
 
@@ -99,25 +102,28 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def _cut(window: int, gram: int):
-    """Rows (id, key, text, weight, places, hot) to stretches (route, stretch, core, weight, ids, starts).
+    """Rows (row, text, weight, places, hot) to stretches (route, stretch, core, weight, rows, starts).
 
     Equal stretches of a batch are one row with the places where they stand: what many documents share is merged
-    before it is shuffled.
+    before it is shuffled. Repeated rows bring a text again; it is taken once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            keys, weights = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            data, offsets = utf8(batch.column(1))
+            owners, weights = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             number: dict[bytes, int] = {}
             routes, cores, which, rows, begins = [], [], [], [], []
             for i in range(batch.num_rows):
+                if owners[i] in seen:
+                    continue
+                if weights[i] > 1:
+                    seen.add(owners[i])
                 part = data[offsets[i] : offsets[i + 1]]
-                if hashlib.blake2b(part, digest_size=16).digest() != keys[i]:
-                    continue  # another text under the same id
                 words, starts, ends, _ = scan_words(part, np.array([0, len(part)]))
                 hashes, at, first, final = anchors(words, window, gram)
-                listed, hot = np.array(batch.column(4)[i].values), np.array(batch.column(5)[i].values)
+                listed, hot = np.array(batch.column(3)[i].values), np.array(batch.column(4)[i].values)
                 mine = np.isin(listed, at)
                 where, hot = np.searchsorted(at, listed[mine]), hot[mine]
                 begin, route = first[where], hashes[where]
@@ -152,14 +158,14 @@ def _cut(window: int, gram: int):
                     pa.ListArray.from_arrays(at, batch.column(0).take(pa.array(row[order]))),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(begins)[order].astype(np.int32))),
                 ],
-                names=["route", "stretch", "core", "weight", "ids", "starts"],
+                names=["route", "stretch", "core", "weight", "rows", "starts"],
             )
 
     return run
 
 
 def _search(window: int):
-    """A partition is a shard: rows of _cut in, intervals (id, first word, word after the last) out."""
+    """A partition is a shard: rows of _cut in, intervals (row of the text, first word, word after the last) out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
@@ -212,7 +218,7 @@ def _search(window: int):
         column = pa.chunked_array(ids).combine_chunks().take(pa.array(rows))
         for a in range(0, len(rows), 50_000):
             s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([column.slice(a, 50_000), pa.array((start[s] + run_from[picks[s]]).astype(np.int32)), pa.array((start[s] + run_to[picks[s]]).astype(np.int32))], names=["id", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([column.slice(a, 50_000), pa.array((start[s] + run_from[picks[s]]).astype(np.int32)), pa.array((start[s] + run_to[picks[s]]).astype(np.int32))], names=["row", "begin", "end"])
 
     return run
 
@@ -225,15 +231,17 @@ def covered(n_words: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text, begins, ends) to (key, text left, words removed, digest of what is left); wrong texts go."""
+    """Rows (key, text, begins, ends) to (key, text left, words removed, digest of what is left), each key once."""
+    seen: set[bytes] = set()
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         keys = batch.column(0).to_pylist()
         out_keys, texts, removed, sums = [], [], [], []
         for i, key in enumerate(keys):
-            part = data[offsets[i] : offsets[i + 1]]
-            if hashlib.blake2b(part, digest_size=16).digest() != key:
+            if key in seen:
                 continue
+            seen.add(key)
+            part = data[offsets[i] : offsets[i + 1]]
             _, starts, ends, _ = scan_words(part, np.array([0, len(part)]))
             gone = covered(len(starts), np.array(batch.column(2)[i].values), np.array(batch.column(3)[i].values))
             left, _ = joined(part, starts[~gone], ends[~gone])
@@ -245,30 +253,34 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], names=["key", "left", "n_removed", "sum"])
 
 
+def _texts(source: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``keyed`` (key, rep and others) with the text of each key. Of its copies those of the least id alone come: an
+    id in the join spreads copies, the key spreads the texts of an id."""
+    return source.join(keyed.withColumnsRenamed({"key": "_key", "rep": "_rep"}).hint("shuffle_hash"), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_rep")))
+
+
 def _analyse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(one row for each row of docs: id, key, n_words, whole), (key, n, rep), (key, left, n_removed, sum of the pruned)."""
+    """(one row for each row of docs: id, key, n_words, whole), (key, row, rep, n), (key, left, n_removed, sum of the pruned)."""
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = cut(source.mapInArrow(_find(window, gram), f"id {kind}, key binary, n_words bigint, whole string, hashes array<bigint>, places array<int>"), "anchored")
-    classes = cut(found.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
-    one = found.join(classes, (found.key == classes.key) & (found.id == classes.rep))
-    flat = one.select("id", "n", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "n", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"))
+    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    found = cut(source.mapInArrow(_find(window, gram), f"id {kind}, key binary, row bigint, n_words bigint, whole string, hashes array<bigint>, places array<int>"), "anchored")
+    classes = cut(found.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
+    one = found.join(classes.select("key", "row", "n"), ["key", "row"])
+    flat = one.select("row", "n", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("row", "n", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"))
     flat = cut(flat, "anchors")
     # a text that has copies goes whole: its windows need no search, but others must find them
     counts = cut(flat.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("anchor", (F.col("c") > HOT).alias("hot")), "counts")
-    back = cut(flat.select("id", "anchor", "place").join(counts, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "hot")).alias("x")), "repeated")
+    back = cut(flat.select("row", "anchor", "place").join(counts, "anchor").groupBy("row").agg(F.collect_list(F.struct("place", "hot")).alias("x")), "repeated")
     forget(flat, counts)
     total = back.agg(F.sum(F.size("x"))).first()[0] or 0
     shards = max(1, -(-total * (window + (window - gram) // 2) // SHARD_WORDS))
-    keyed = back.join(classes.withColumnRenamed("rep", "id"), "id")
-    rows = source.join(keyed.hint("shuffle_hash"), "id").select("id", "key", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
-    pieces = rows.mapInArrow(_cut(window, gram), f"route bigint, stretch binary, core int, weight bigint, ids array<{kind}>, starts array<int>")
-    spans = pieces.repartition(int(shards), "route").mapInArrow(_search(window), f"id {kind}, begin int, end int")
-    spans = cut(spans.groupBy("id").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
-    keyed = spans.join(classes.select("key", F.col("rep").alias("id")), "id")
-    pruned = source.join(keyed.hint("shuffle_hash"), "id").select("key", "text", "begins", "ends").mapInArrow(_prune, "key binary, left string, n_removed bigint, sum string")
+    rows = _texts(source, back.join(classes, "row")).select("row", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
+    pieces = rows.mapInArrow(_cut(window, gram), "route bigint, stretch binary, core int, weight bigint, rows array<bigint>, starts array<int>")
+    spans = pieces.repartition(int(shards), "route").mapInArrow(_search(window), "row bigint, begin int, end int")
+    spans = cut(spans.groupBy("row").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
+    pruned = _texts(source, spans.join(classes, "row")).select("key", "text", "begins", "ends").mapInArrow(_prune, "key binary, left string, n_removed bigint, sum string")
     return found.select("id", "key", "n_words", "whole"), classes, pruned
 
 
@@ -278,8 +290,8 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A word goes if a window of ``window`` words over it stands anywhere else in ``docs`` too, the same text included;
     windows are judged on the input, so every copy of a passage goes. Null and blank texts have no words and keep
     the digest of nothing; shorter texts than a window keep all; repeated rows are copies of one another, so their
-    windows go. Other columns are ignored; an empty table gives no rows; a null id is kept with its row, but a
-    text that only rows of a null id hold takes no part: it is kept whole and makes nothing else go.
+    windows go. Other columns are ignored; an empty table gives no rows. Ids only name rows: they may be null, and
+    one id may stand at several texts.
     """
     found, classes, pruned = _analyse(docs, id_col, text_col, window, gram)
     results = cut(pruned.dropDuplicates(["key"]).select("key", "n_removed", "sum"), "pruned")
@@ -297,9 +309,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     found, classes, pruned = _analyse(docs, id_col, text_col, window, gram)
     results = cut(pruned.dropDuplicates(["key"]).select("key", "left", "n_removed"), "pruned")
-    changed = classes.join(results, "key").select("rep", "key", "left")
-    own, left = free_name(docs, "_quern_id"), free_name(docs, "_quern_left")
-    ids = cut(found.join(changed.select("key", "left"), "key").select(F.col("id").alias(own), F.col("left").alias(left)).dropDuplicates([own]), "changed")
-    whole = docs.join(ids.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left")
-    out = whole.withColumn(text_col, F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.col(left))).where(F.col(own).isNull() | (F.length(left) > 0))
+    key, own, left = (free_name(docs, f"_quern_{c}") for c in ("key", "id", "left"))
+    places = found.select("id", "key").distinct().join(results.where("n_removed > 0"), "key")
+    places = cut(places.select(F.col("key").alias(key), F.col("id").alias(own), F.col("left").alias(left)), "changed")
+    whole = docs.join(places.hint("shuffle_hash"), (text_key(F.col(text_col)) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(own)), "left")
+    out = whole.withColumn(text_col, F.when(F.col(key).isNull(), F.col(text_col)).otherwise(F.col(left))).where(F.col(key).isNull() | (F.length(left) > 0))
     return out.select(*docs.columns)

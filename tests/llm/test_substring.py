@@ -62,6 +62,19 @@ def test_pruned_documents(spark):
     assert without_repeats(empty(spark)).collect() == []
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    shared, other = prose(50, 90), prose(51, 60)
+    clean = prose(1, 30) + " " + prose(2, 400)
+    rows = [(1, prose(3, 5) + " " + shared), (1, clean), (1, prose(4, 200) + " " + other), (2, shared + " " + prose(5, 40)), (None, other + " " + prose(6, 50)), (None, prose(7, 80)), (None, None), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = pruned([t for _, t in rows])
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeated_words(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
+    left = {(r.doc_id, len(words(r.text))) for r in without_repeats(df).collect()}
+    assert left == {(i, n - gone) for (i, _), (n, gone, _) in zip(rows, want, strict=True)}
+    assert (1, clean) in {(r.doc_id, r.text) for r in without_repeats(df).collect()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=60))
 def test_anchors_own_each_window_once(symbols):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, gram_hashes, prepare, scan_words, utf8
+from .common import chunks, cut, free_name, gram_hashes, prepare, scan_words, text_key, utf8
 from .graph import components
 
 #: Classes and n-grams that a block of a family holds at most (one class may hold more n-grams).
@@ -85,7 +85,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def _sign(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in chunks(offsets):
                 sets = list(gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n))
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -95,8 +95,8 @@ def _sign(n: int, bands: int, rows: int):
                 keys: list = [digest(s) if len(s) else None for s in sets]
                 at = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sigs.ravel())), pa.array([len(s) for s in sets], pa.int32())],
-                    names=["id", "digest", "bands", "grams"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sigs.ravel())), pa.array([len(s) for s in sets], pa.int32())],
+                    names=["id", "key", "digest", "bands", "grams"],
                 )
 
     return run
@@ -129,10 +129,6 @@ def _verify(n: int, threshold: float):
         pdf = pdf.drop_duplicates("digest")
         data, offsets = utf8(pa.array(pdf["text"], pa.large_string()))
         sets = [s for a, b in chunks(offsets) for s in gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)]
-        mine = np.array([digest(s) == d for s, d in zip(sets, pdf["digest"], strict=True)], bool)  # an id may stand at several texts
-        pdf, sets = pdf[mine], [s for s, m in zip(sets, mine, strict=True) if m]
-        if not sets:
-            return pd.DataFrame({"a": [], "b": [], "links": []})
         link = jaccard_links(sets, threshold)
         block, low, high = pdf["block"].to_numpy(), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         if low != high:
@@ -151,55 +147,72 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """One row for each row of ``docs``: id, class_id (least id among those linked to it, directly or not, or
-    equal to it), n_links (other rows whose set of word n-grams has Jaccard similarity of ``threshold`` or more,
-    copies included) and n_copies (rows of an equal set, itself included).
-
-    Words are runs without ASCII white space, compared as they are. A text of 1 to n-1 words is one gram of all its
-    words; a null or blank text has no gram, so it is alone: class_id its own id, no links, one copy. A null id is
-    kept, counts as a link and is no one's class_id unless all ids of the class are null. Repeated rows are copies
-    of each other. An empty table gives no rows; other columns are ignored. A pair at the threshold is found with
-    probability ``recall`` or more; pairs that copies or other members of a family bring together are found as well.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(one row for each row of docs: id, key, digest), (digest, least, n_links, n_copies): ``least`` is the id and
+    text key of the row of the least id among all that are linked."""
     spark = docs.sparkSession
     prepare(spark)
     bands, rows = bands_for(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = cut(source.mapInArrow(_sign(n, bands, rows), f"id {kind}, digest binary, bands array<bigint>, grams int"), "signed")
-    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "classes")
+    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    first = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")  # of a class the row of the least id speaks for it, null last
+    signed = cut(source.mapInArrow(_sign(n, bands, rows), f"id {kind}, key binary, digest binary, bands array<bigint>, grams int"), "signed")
+    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "classes")
     banded = classes.select("digest", F.explode("bands").alias("band"))
     hubs = cut(banded.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub"), "hubs")
     ties = banded.join(hubs, "band").where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
-    family = cut(components(ties, "family").join(classes.select(F.col("digest").alias("node"), "rep", "n", "grams"), "node"), "families")
+    family = cut(components(ties, "family").join(classes.select(F.col("digest").alias("node"), "first", "n", "grams"), "node"), "families")
     sizes = family.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = family.join(cut(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = source.join(placed.hint("shuffle_hash"), F.col("rep") == F.col("id")).select(  # texts aren't sorted
+    texts = source.join(placed.hint("shuffle_hash"), (F.col("key") == F.col("first.key")) & F.col("id").eqNullSafe(F.col("first.id"))).select(  # texts aren't sorted
         "root", F.col("node").alias("digest"), "n", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("root", "digest", "n", "text", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     checked = cut(texts.groupBy("root", "low", "high").applyInPandas(_verify(n, threshold), "a binary, b binary, links bigint"), "checked")
     linked = components(checked.select("a", "b"), "linked").select(F.col("node").alias("digest"), "root")
     links = checked.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
-    known = classes.select("digest", "rep", "n").join(linked, "digest", "left").join(links, "digest", "left")
+    known = classes.select("digest", "first", "n").join(linked, "digest", "left").join(links, "digest", "left")
     known = known.withColumn("root", F.coalesce("root", "digest"))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = cut(known.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("n_copies")), "known")
+    least = known.groupBy("root").agg(F.min("first").alias("least"))
+    known = cut(known.join(least, "root").select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("n_copies")), "known")
+    return signed, known
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """One row for each row of ``docs``: id, class_id (least id among those linked to it, directly or not, or
+    equal to it), n_links (other rows whose set of word n-grams has Jaccard similarity of ``threshold`` or more,
+    copies included) and n_copies (rows of an equal set, itself included).
+
+    Words are runs without ASCII white space, compared as they are. A text of 1 to n-1 words is one gram of all its
+    words; a null or blank text has no gram, so it is alone: class_id its own id, no links, one copy. A null id is
+    kept, counts as a link and is no one's class_id unless all ids of the class are null. Repeated rows are copies
+    of each other. An empty table gives no rows; other columns are ignored. A pair at the threshold is found with
+    probability ``recall`` or more; pairs that copies or other members of a family bring together are found as well.
+    """
+    signed, known = _linked(docs, id_col, text_col, n, threshold, recall)
     out = signed.select("id", "digest").join(known, "digest", "left")
     return out.select(
         F.col("id").alias(id_col),
-        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
     )
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class, all columns kept; of repeated rows one stays."""
-    joined = ngram_jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold, recall=recall)
-    least = cut(joined.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count("*").alias("rows")), "least")
-    kept = docs.join(least.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
-    if not least.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    return kept.unionByName(nameless)
+    """One row of each class of near copies, all columns kept: that of the least id, null ids last, and then of the least
+    digest of the text. Rows without a gram are alone and stay. Of rows of one id and text that is kept one stays; rows
+    without id and gram stay all."""
+    signed, known = _linked(docs, id_col, text_col, n, threshold, recall)
+    own, key = free_name(docs, "_quern_id"), free_name(docs, "_quern_key")
+    chosen = known.select(F.col("least.id").alias(own), F.col("least.key").alias(key)).unionByName(
+        signed.where("digest is null and id is not null").select(F.col("id").alias(own), F.col("key").alias(key))
+    )
+    chosen = cut(chosen.distinct(), "least")
+    same = lambda i, k: F.col(i).eqNullSafe(F.col(own)) & (F.col(k) == F.col(key))
+    mine = free_name(docs, "_quern_text")
+    kept = docs.withColumn(mine, text_key(F.col(text_col)))
+    kept = kept.join(chosen.hint("shuffle_hash"), same(id_col, mine), "left_semi")
+    if not signed.join(chosen, same("id", "key"), "left_semi").groupBy("id", "key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, mine])
+    blank = F.col(text_col).isNull() | ~F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")
+    return kept.drop(mine).unionByName(docs.where(F.col(id_col).isNull() & blank))

@@ -69,6 +69,18 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert one_of_each(empty(spark)).collect() == []
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    texts = family(3, seed=9)[:3]
+    clean, other, blank = prose(31, 70), prose(32, 70), " "
+    rows = [(1, clean), (1, texts[1]), (1, other), (None, texts[0]), (None, texts[2]), (None, texts[2]), (None, blank), (1, None), (None, prose(33, 70)), (None, prose(33, 70))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, links = near_groups([t for _, t in rows])
+    got = sorted(((r.doc_id, r.n_links) for r in ngram_jaccard_join(df).collect()), key=str)
+    assert got == sorted(((i, n) for (i, _), n in zip(rows, links, strict=True)), key=str)
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, clean), (1, other), (1, texts[1]), (None, blank), (1, None), (None, prose(33, 70))], key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_matrix_products_count_shared_grams(seed):
     r = np.random.default_rng(seed)

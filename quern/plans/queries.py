@@ -425,14 +425,21 @@ def reply_features(spark, sf):
 # ---------------------------------------------------------------- pages
 
 
+#: Lines of a page of glyphs, and words of a line.
+PAGE_LINES, LINE_WORDS = 48, 5
+
+
 def glyph_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's first words as glyphs of two fonts on one page, some of which can't be read."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.slice(F.split("text", " "), 1, 40).alias("ws"))
+    """Each document's words as glyphs of two fonts, some of which can't be read, on as many pages as they fill."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", " ").alias("ws"))
+    each = PAGE_LINES * LINE_WORDS  # a multiple of 3, so fonts run on from page to page
+    d = d.withColumn("page", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("ws") / each).cast("int")))))
+    d = d.select("document_id", "page", F.slice("ws", (F.col("page") - 1) * each + 1, F.lit(each)).alias("ws"))
     glyph = lambda w, i: F.struct(
         F.when(i % 3 == 0, F.lit("F0")).otherwise(F.lit("F1")).alias("font"), F.lit(10.0).alias("font_size"), (F.lit(60.0) + (i % 5) * 80).alias("x"), (F.lit(700.0) - F.floor(i / 5) * 14).cast("double").alias("y"),
         (F.length(w) * 5.0).alias("w"), F.when((F.col("document_id") % 4 == 0) & (i % 3 == 0), F.lit("�")).otherwise(F.regexp_replace(w, "\n", " ")).alias("s"),
     )
-    return d.select("document_id", F.lit(1).alias("page"), F.transform("ws", glyph).alias("glyphs"), F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>").alias("rects"))
+    return d.select("document_id", "page", F.transform("ws", glyph).alias("glyphs"), F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>").alias("rects"))
 
 
 @query("SELECT doc_id AS document_id, 'F0' AS font FROM documents WHERE doc_id % 4 = 0")

@@ -41,6 +41,23 @@ def test_query_gives_what_its_sql_gives(spark, db, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
+def test_layout_takes_all_words(spark, tmp_path):
+    from quern.operators.layout import Glyphs
+    from quern.operators.regions import page_blocks
+
+    texts = {1: " ".join(f"w{i}" for i in range(700)), 2: "few words", 3: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, text in texts.items():
+        ws = (text or "").split(" ")
+        for n in range(0, len(ws), 240):
+            glyphs = [{"font": "F1" if k % 3 else "F0", "font_size": 10.0, "x": 60.0 + k % 5 * 80, "y": 700.0 - k // 5 * 14, "w": len(w) * 5.0, "s": w} for k, w in enumerate(ws[n : n + 240])]
+            content = "\n".join(b.row()["content"] for b in page_blocks(Glyphs.of(glyphs), [], set()))
+            want.add((i, n // 240 + 1, "".join(content.split())))
+    got = {(r.document_id, r.page, "".join(r.text.split())) for r in QUERIES["page_layout"](spark, str(tmp_path)).collect()}
+    assert got == want and "w699" in "".join(t for _, _, t in got)
+
+
 def test_flagship(spark):
     assert flagship(spark, SF).count() > 0
 

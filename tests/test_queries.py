@@ -58,6 +58,13 @@ def test_layout_takes_all_words(spark, tmp_path):
     assert got == want and "w699" in "".join(t for _, _, t in got)
 
 
+def test_gate_reads_all_documents(spark, tmp_path):
+    texts = {i: f"{i} " + "word and more " * 100 for i in (3, 250, 9999)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["gate_states"](spark, str(tmp_path)).collect()
+    assert sum(v for r in rows for v in r if isinstance(v, int)) == 3
+
+
 def test_flagship(spark):
     assert flagship(spark, SF).count() > 0
 

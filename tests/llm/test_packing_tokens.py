@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,6 +37,19 @@ def test_local_search_empties_bins_that_best_fit_leaves():
     assert better > 0
 
 
+@pytest.mark.parametrize(("n", "most"), [(1024, 338), (4096, 1340)])
+def test_local_search_of_many_lengths_near_a_third_of_a_bin(n, most):
+    """Best fit leaves 350 and 1,392 bins; the sum of lengths needs 326 and 1,301."""
+    r = random.Random(0)
+    lengths = [r.randint(400, 900) for _ in range(n)]
+    first = best_fit(lengths, 2048)
+    began = time.process_time()
+    out = local_search(first, lengths, 2048)
+    assert time.process_time() - began < 5
+    assert sorted(i for b in out for i in b) == list(range(n)) and len(out) <= most
+    assert all(sum(lengths[i] for i in b) <= 2048 for b in out)
+
+
 def packed(spark, df):
     rows = pack(df, tokenizer=word_file()).collect()
     sequences = {}
@@ -86,7 +101,8 @@ def test_rounds_end_when_nothing_fits_together(spark, monkeypatch):
 def test_repeated_rows_are_dealt_over_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 20)
     rows, sequences = packed(spark, spark.createDataFrame([(7, prose(1, 300))] * 200, "doc_id long, text string").coalesce(1))
-    assert len(rows) == 200 and len({r.sequence_id >> 20 for r in rows if r.sequence_id >> 56 == 1}) > 1
+    groups = Counter(r.sequence_id >> 20 for r in rows if r.sequence_id >> 56 == 1)
+    assert len(rows) == 200 and len(groups) == 10 and max(groups.values()) <= 40
 
 
 def test_tokens_equal_the_librarys():

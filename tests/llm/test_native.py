@@ -1,10 +1,14 @@
+import os
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from quern.llm.licenses import KNOWN, canonical, canonical_text, license_scan
+from quern.llm.licenses import DIGESTS, HINTS, KNOWN, canonical, canonical_text, digest_of, known_digests, license_scan
 from quern.llm.quality import RULES, keep_good, order_rules, quality
 from quern.llm.queries import oracle_sql, queries
 
@@ -54,11 +58,62 @@ def test_licences(spark):
     texts = [mit, "MIT License\n" + mit, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(",", " ;"), "Some text.\n  * Licensed under the APACHE licence, version 2.0!\nMore\nReleased under the MIT License.", "nothing", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.license, r.notices) for r in license_scan(df).collect()}
-    assert got == {0: ("MIT", []), 1: (None, []), 2: ("MIT", []), 3: (None, ["Apache-2.0", "MIT"]), 4: (None, []), 5: (None, []), 6: (None, [])}
+    assert got == {0: ("MIT", []), 1: ("MIT", []), 2: ("MIT", []), 3: (None, ["Apache-2.0", "MIT"]), 4: (None, []), 5: (None, []), 6: (None, [])}
     out = license_scan(odd(spark))
     assert out.count() == len(odd_rows()) and license_scan(empty(spark)).collect() == []
 
 
+LONG = [(name, text) for name, text in KNOWN if len(text) > 500]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(LONG), st.integers(50, 120), st.sampled_from(["", "# ", " * ", "// ", "; ", "> ", "\t"]), st.sampled_from(["n.", "(n)", "n)", "-", "*", "\u2022", "a."]), st.sampled_from(["", "Copyright (c) 2021 Some One\nAll rights reserved.\n\n", "\u00a9 1999, 2004 X. Y.\n(c) 2005 Z <z@y.x>\n", "Portions Copyright: 2020 Me\r\n"]))
+def test_any_layout_keeps_the_licence(entry, width, mark, bullet, notice):
+    name, text = entry
+    parts = []
+    for k, part in enumerate(text.split("\n")):
+        item = re.sub(r"^[0-9]\. ", "", part)
+        if item != part:
+            part = bullet.replace("n", item and str(k)).replace("a", "abcdef"[k]) + " " + item
+        parts.append("\n".join(textwrap.wrap(part, width)))
+    laid = "\n".join(mark + x for x in (notice + "\n\n".join(parts)).split("\n"))
+    for form in (laid, laid.upper(), laid.replace("organization", "organisation").replace("&", "and")):
+        assert known_digests()[digest_of(form)] == name
+
+
+def test_titles_and_holders_names():
+    texts = {name: text for name, text in reversed(LONG)}
+    for title, name in (("The MIT License (MIT)", "MIT"), ("ISC License", "ISC"), ("BSD 3-Clause License", "BSD-3-Clause"), ("Simplified BSD License", "BSD-2-Clause"), ("zlib License", "Zlib"), ("BSD Zero Clause License", "0BSD")):
+        assert known_digests()[digest_of(f"{title}\n\nCopyright (c) 2020, Me\n\n{texts[name]}")] == name
+    regents = texts["BSD-3-Clause"].replace("the copyright holder nor", "the University nor").replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+    assert known_digests()[digest_of(regents)] == "BSD-3-Clause"
+    for other in (texts["MIT"].replace("without restriction", "with restriction"), texts["MIT"] + " More.", "MIT License", "Licensed under the GNU General Public License, version 2."):
+        assert digest_of(other) not in known_digests()
+
+
+def test_long_licences_by_digest():
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    for name, file in files.items():
+        with open(f"{folder}/{file}") as f:
+            assert (name, digest_of(f.read())) in DIGESTS
+
+
+def test_every_notice_holds_a_hint():
+    assert all(any(h in text.lower() for h in HINTS) for _, text in KNOWN if "\n" not in text)
+
+
+def test_known_texts_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "Be kind, it's ours."), (2, "x\nBE KIND - it's ours\ny")], "digest long, text string")
+    rows = {r[0]: (r.license, r.notices) for r in license_scan(df.withColumnRenamed("digest", "own"), id_col="own", known=[("O'Wn", "be kind; it's ours")]).collect()}
+    assert rows == {1: ("O'Wn", ["O'Wn"]), 2: (None, ["O'Wn"])}
+    assert [(r.license, r.notices) for r in license_scan(df.withColumnRenamed("digest", "own"), id_col="own", known=[]).collect()] == [(None, [])] * 2
+    odd_names = license_scan(df.withColumnsRenamed({"digest": "known"}), id_col="known").collect()
+    assert sorted(r.known for r in odd_names) == [1, 2]
+
+
 @pytest.mark.parametrize("text", [t for _, t in KNOWN[:4]] + ["  Ünï & co. https://x.y\n// Copyright 2020\n(c) me\nAll rights reserved", "", "© x"])
 def test_canonical_forms_agree(spark, text):
     from pyspark.sql import functions as F

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm.bpe import Encoder, Prefixes, bpe_round_trip, rank_file, split_pattern
 from quern.llm.mtree import MTree, top_k
@@ -14,11 +15,11 @@ from .cases import empty, odd, odd_rows
 
 
 def brute(rows, queries, k=5):
-    out = set()
-    for qid, q in queries:
-        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in rows if i != qid and len(v) == len(q))
-        out |= {(qid, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)}
-    return out
+    """Sorted answers; every row is a candidate, and the vectors of one query id share its ranks."""
+    found = {}
+    for qid, q in dict.fromkeys((i, tuple(v)) for i, v in queries):
+        found.setdefault(qid, []).extend((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in rows if i != qid and len(v) == len(q))
+    return sorted((qid, n, i, -s) for qid, scored in found.items() for n, (s, i) in enumerate(sorted(scored)[:k], 1))
 
 
 def floors(v):
@@ -30,14 +31,27 @@ def test_top_k_against_all_pairs(spark):
     rows = [(i, [float(np.float32(x)) for x in r.normal(size=8)]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)] + [(400, [0.0] * 8), (401, [1.0] * 3), (402, [2.0] * 3)]
     bad = [(500, None), (501, [None] + [1.0] * 7), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, []), (None, rows[0][1])]
-    df = spark.createDataFrame(rows + [rows[5]] + bad, "vec_id long, embedding array<float>").withColumnRenamed("x", "x")
+    rows += [rows[7]] * 3 + [rows[50], (50, rows[3][1]), (100, rows[100][1])]  # repeated rows, and an id with two vectors
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    df = df.select("*", *(F.lit(-1).alias(c) for c in ("id", "v", "block", "length", "asks", "number", "most", "score", "rank", "query_id")))
+    whole = [(i, floors(v)) for i, v in rows]
+    want = brute(whole, [(i, v) for i, v in whole if i % 50 == 0 or i == 401])
     for block in (24_000, 50):
         got = top_k(df, df.where("vec_id % 50 = 0 or vec_id = 401"), rows_per_block=block)
-        whole = [(i, floors(v)) for i, v in rows]
-        want = brute(whole, [(i, v) for i, v in whole if i % 50 == 0 or i == 401])
-        assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()} == want and got.count() == len(want)
+        assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == want
     assert top_k(df.limit(0), df.limit(0)).collect() == []
-    assert top_k(df, df.limit(0)).collect() == []
+    assert top_k(df, df.limit(0)).collect() == [] and top_k(df.limit(0), df).collect() == []
+
+
+def test_large_components(spark):
+    df = spark.createDataFrame([(0, [2.0**21, -3.0]), (1, [2.0**22 + 0.5, 1.0]), (2, [-(2.0**22), 7.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in top_k(df, df).collect()}
+    whole = {0: (2**29, -768), 1: (2**30 + 128, 256), 2: (-(2**30), 1792)}
+    assert got == {(i, j): a[0] * b[0] + a[1] * b[1] for i, a in whole.items() for j, b in whole.items() if i != j}
+    for huge in (1e30, 2.0**24):
+        both = df.unionByName(spark.createDataFrame([(5, [huge, huge])], "vec_id long, embedding array<double>"))
+        with pytest.raises(OverflowError):
+            top_k(both, both)
 
 
 @pytest.mark.parametrize("seed", range(10))

@@ -1,4 +1,9 @@
-"""A compressed full-text index over sequences of integers: suffix order, Burrows-Wheeler transform, wavelet matrix.
+"""A compressed full-text index over sequences of integers: suffix order, Burrows-Wheeler transform, wavelet trees.
+
+The transform is compressed to about its entropy by alphabet partitioning: symbols are numbered by falling frequency, and
+those whose numbers have j + 1 bits are a class. One wavelet matrix holds the class of each place, and another for each
+class the j lower bits of its own places, so a frequent symbol takes few bits. The matrices of all classes lie side by
+side, level by level, and a lane (a pattern that is being read) leaves after the levels of its class.
 
 All steps take many patterns at once, as arrays; nothing runs per symbol in Python.
 """
@@ -35,6 +40,21 @@ def suffix_ranks(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+class Bits:
+    """A bit vector with the number of ones before any place, in 64-bit words and a 32-bit count for each."""
+
+    def __init__(self, ones: np.ndarray) -> None:
+        self.words = np.zeros(len(ones) // 64 + 1, np.uint64)
+        packed = np.packbits(ones, bitorder="little")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.counts = np.zeros(len(self.words), np.uint32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.counts[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+
 class FMIndex:
     """``text``: symbols from 1; each sequence ends with a 0. ``weights``: of each sequence.
 
@@ -44,34 +64,71 @@ class FMIndex:
     def __init__(self, text: np.ndarray, weights: np.ndarray) -> None:
         marks = text == 0
         count = int(marks.sum())
-        keys = np.where(marks, np.cumsum(marks) - 1, text + count)
+        keys = np.where(marks, np.cumsum(marks) - 1, text.astype(np.int64) + count)
         rank = suffix_ranks(keys)
         order = np.empty(len(text), np.int64)
         order[rank] = np.arange(len(text))
         sequence = np.cumsum(marks) - marks
-        #: Sum of weights of the first i suffixes in order.
-        self.weight = np.concatenate([[0], np.cumsum(weights[sequence[order]])])
+        #: Sum of weights of the first i suffixes in order, in as few bytes as hold it.
+        total = int(weights[sequence].sum())
+        self.weight = np.zeros(len(text) + 1, np.uint32 if total < 1 << 32 else np.int64)
+        np.cumsum(weights[sequence[order]], out=self.weight[1:])
         bwt = text[order - 1]
-        self.size, self.symbols = len(text), int(text.max()) + 1
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])[: self.symbols]
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-        for bit in range(max(1, (self.symbols - 1).bit_length()) - 1, -1, -1):
-            ones = (bwt >> bit & 1).astype(bool)
-            words = np.zeros(self.size // 64 + 1, np.uint64)
-            packed = np.packbits(ones, bitorder="little")
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.zeros(len(words), np.int64)
-            np.cumsum(np.bitwise_count(words[:-1]), out=counts[1:])
-            self.levels.append((bit, words, counts, self.size - int(ones.sum())))
-            bwt = np.concatenate([bwt[~ones], bwt[ones]])
-        symbols = np.arange(self.symbols)
-        self.origin = self._descend(symbols, np.zeros(self.symbols, np.int64))
+        del order, sequence, keys, rank
+        self.size, symbols = len(text), int(text.max()) + 1
+        often = np.bincount(text, minlength=symbols)
+        self.before = np.concatenate([[0], np.cumsum(often)])[:symbols]
+        number = np.empty(symbols, np.int64)
+        number[np.argsort(-often, kind="stable")] = np.arange(1, symbols + 1)
+        #: Of each symbol: its class, and its place in the class, which has the number's lower bits.
+        self.kind = np.frexp(number.astype(float))[1].astype(np.int64) - 1
+        self.rest = number - (np.int64(1) << self.kind)
+        self.classes: list[tuple[int, Bits, int]] = []
+        kinds = self.kind[bwt]
+        held = kinds
+        for bit in range(max(1, int(self.kind.max()).bit_length()) - 1, -1, -1):
+            ones = (held >> bit & 1).astype(bool)
+            self.classes.append((bit, Bits(ones), len(ones) - int(ones.sum())))
+            held = np.concatenate([held[~ones], held[ones]])
+        #: Places of each class: the classes lie side by side in every level.
+        sizes = np.bincount(kinds, minlength=int(self.kind.max()) + 1)
+        parts = {j: self.rest[bwt[kinds == j]] for j in range(1, len(sizes))}
+        del held, kinds, bwt
+        #: Level d: its bits, and of each class where its places begin, how many ones are before, and how many zeros it has.
+        self.levels: list[tuple[Bits, np.ndarray, np.ndarray, np.ndarray]] = []
+        for d in range(len(sizes) - 1):
+            base, before, zeros = (np.zeros(len(sizes), np.int64) for _ in range(3))
+            level, at, total = [], 0, 0
+            for j in range(d + 1, len(sizes)):
+                ones = (parts[j] >> (j - 1 - d) & 1).astype(bool)
+                base[j], before[j], zeros[j] = at, total, len(ones) - int(ones.sum())
+                at, total = at + len(ones), total + int(ones.sum())
+                level.append(ones)
+                parts[j] = np.concatenate([parts[j][~ones], parts[j][ones]])
+            self.levels.append((Bits(np.concatenate(level)), base, before, zeros))
+        #: Where the run of each class begins in the last order of classes, and of each symbol in that of its class.
+        self.begin = np.zeros(len(sizes), np.int64)
+        self.begin = self._class_at(np.arange(len(sizes)), np.zeros(len(sizes), np.int64))
+        self.origin = self._descend(np.arange(symbols), np.zeros(symbols, np.int64))
+
+    def _class_at(self, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for bit, bits, zeros in self.classes:
+            ones = bits.rank(at)
+            at = np.where(kind >> bit & 1, zeros + ones, at - ones)
+        return at - self.begin[kind]
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for bit, words, counts, zeros in self.levels:
-            word = at >> 6
-            ones = counts[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where(symbols >> bit & 1, zeros + ones, at - ones)
+        """Where, in the last order of its symbol's class, each place comes to stand."""
+        kind = self.kind[symbols]
+        at = self._class_at(kind, at)
+        rest, lanes = self.rest[symbols], np.arange(len(at))
+        for d, (bits, base, before, zeros) in enumerate(self.levels):
+            lanes = lanes[kind[lanes] > d]
+            if not len(lanes):
+                break
+            j, now = kind[lanes], at[lanes]
+            ones = bits.rank(base[j] + now) - before[j]
+            at[lanes] = np.where(rest[lanes] >> (j - 1 - d) & 1, zeros[j] + ones, now - ones)
         return at
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

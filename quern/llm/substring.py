@@ -8,11 +8,16 @@ neighbourhoods of repeated anchors:
    A text is known by its digest, and in tables of places by the number of its first row: ids may repeat or be null.
 2. Anchors are counted; those that occur twice or more go back to their texts, which are cut into the stretches
    that their anchors own. A physical window lies in exactly one stretch.
-3. Stretches go to shards by anchor, so all copies of a window meet. An anchor that occurs very often sends each of
-   its windows to a shard by the window's own content instead, so one passage's contexts are dealt out.
-4. Each shard builds an FM-index over its different stretches (wavelet matrix over words, weights in suffix order)
-   and reads them backward; windows whose longest repeated string is long enough are reported as intervals.
+3. Equal stretches of a task are merged, with a count and the places where they stand. Stretches and counts go to shards
+   by anchor, so all copies of a window meet; places stay behind, so a shard holds what is different, not all copies. An
+   anchor that occurs very often sends each of its windows to a shard by the window's own content instead.
+4. Each shard builds an FM-index over its different stretches (wavelet matrix over words, counts in suffix order) and
+   reads every one of them backward, copies by their counts; windows whose longest repeated string is long enough are
+   reported as intervals, which are joined to the places.
 5. The words of a document that its intervals cover go.
+
+Words are equal where their 64-bit hashes are: of n different words in a shard of which any two are equal with a chance of
+2^-64, a shard of 500,000 takes two for one with a chance below 1e-8. Texts and stretches are known by 128 bits.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, forget, free_name, gram_hashes, prepare, ranges, scan_words, text_key, utf8
 from .fmindex import FMIndex, repeated_windows
 
-#: Words that one shard indexes, about; occurrences from which an anchor's windows are dealt out one by one.
-SHARD_WORDS, HOT = 500_000, 1000
+#: Words that one shard indexes, about; occurrences from which an anchor's windows are dealt out one by one; bytes of
+#: stretches and places that a task merges before it hands them on.
+SHARD_WORDS, HOT, MERGED = 500_000, 1000, 8 << 20
 
 
 def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,20 +107,62 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, at
 
 
+class _Stretches:
+    """Different stretches and the places where each stands, from as many rows as MERGED bytes of stretches last."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.routes: list[int] = []
+        self.cores: list[int] = []
+        self.which: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.begins: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, row: int, weight: int, pieces: list[bytes], routes: list[int], cores: list[int], begins: np.ndarray) -> None:
+        which = []
+        for piece, route, core in zip(pieces, routes, cores, strict=True):
+            k = self.number.setdefault(piece, len(self.number))
+            if k == len(self.cores):
+                self.cores.append(core)
+                self.routes.append(route)
+                self.size += len(piece)
+            which.append(k)
+        self.which.append(np.array(which, np.int64))
+        self.rows.append(np.full(len(which), row, np.int64))
+        self.begins.append(begins.astype(np.int32))
+        self.weights.append(np.full(len(which), weight, np.int64))
+        self.size += 24 * len(which)
+
+    def batch(self) -> pa.RecordBatch:
+        of = np.concatenate(self.which)
+        order = np.argsort(of, kind="stable")
+        at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.number)))]).astype(np.int32))
+        weight = np.bincount(of, np.concatenate(self.weights), len(self.number)).astype(np.int64)
+        keys = [hashlib.blake2b(piece, digest_size=16).digest() for piece in self.number]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.array(self.routes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(list(self.number), pa.binary()), pa.array(self.cores, pa.int32()), pa.array(weight),
+                pa.ListArray.from_arrays(at, pa.array(np.concatenate(self.rows)[order])), pa.ListArray.from_arrays(at, pa.array(np.concatenate(self.begins)[order])),
+            ],
+            names=["route", "key", "stretch", "core", "weight", "rows", "starts"],
+        )
+
+
 def _cut(window: int, gram: int):
-    """Rows (row, text, weight, places, hot) to stretches (route, stretch, core, weight, rows, starts).
+    """Rows (row, text, weight, places, hot) to stretches (route, key, stretch, core, weight, rows, starts).
 
-    Equal stretches of a batch are one row with the places where they stand: what many documents share is merged
-    before it is shuffled. Repeated rows bring a text again; it is taken once.
+    Equal stretches of a task are one row, or a few, with the places where they stand: what many documents share is
+    merged before it is shuffled. Repeated rows bring a text again; it is taken once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held = _Stretches()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             owners, weights = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            number: dict[bytes, int] = {}
-            routes, cores, which, rows, begins = [], [], [], [], []
             for i in range(batch.num_rows):
                 if owners[i] in seen:
                     continue
@@ -136,54 +184,34 @@ def _cut(window: int, gram: int):
                     route = np.where(deal, own[begin], np.repeat(route, each))
                     count = np.where(deal, 1, np.repeat(count, each))
                     where = np.repeat(where, each)
-                raw, core = part.tobytes(), (at[where] + gram - begin).tolist()
-                stop = begin + count - 1 + window
-                for s, e, c, r in zip(starts[begin].tolist(), ends[stop - 1].tolist(), core, route.tolist(), strict=True):
-                    k = number.setdefault(raw[s:e], len(number))
-                    if k == len(cores):
-                        cores.append(c)
-                        routes.append(r)
-                    which.append(k)
-                rows.append(np.full(len(begin), i))
-                begins.append(begin)
-            if not number:
-                continue
-            of, row = np.array(which), np.concatenate(rows)
-            order = np.argsort(of, kind="stable")
-            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(number)))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(routes, np.uint64).view(np.int64)), pa.array(list(number), pa.binary()), pa.array(cores, pa.int32()),
-                    pa.array(np.bincount(of, np.array(weights)[row], len(number)).astype(np.int64)),
-                    pa.ListArray.from_arrays(at, batch.column(0).take(pa.array(row[order]))),
-                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(begins)[order].astype(np.int32))),
-                ],
-                names=["route", "stretch", "core", "weight", "rows", "starts"],
-            )
+                raw, stop = part.tobytes(), begin + count - 1 + window
+                pieces = [raw[s:e] for s, e in zip(starts[begin].tolist(), ends[stop - 1].tolist(), strict=True)]
+                held.add(owners[i], weights[i], pieces, route.tolist(), (at[where] + gram - begin).tolist(), begin)
+                if held.size > MERGED:
+                    yield held.batch()
+                    held = _Stretches()
+        if held.number:
+            yield held.batch()
 
     return run
 
 
 def _search(window: int):
-    """A partition is a shard: rows of _cut in, intervals (row of the text, first word, word after the last) out."""
+    """A partition is a shard: (route, key, stretch, core, weight) in, (key, begins, ends) out: the runs of words, from
+    the stretch's first, that repeated windows cover. Every different stretch is read against the index of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
-        cores, weights, which, ids, begins = [], [], [], [], []
+        keys, cores, weights = [], [], []
         for batch in batches:
-            own = []
-            for piece, core, weight in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for key, piece, core, weight in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
                 k = number.setdefault(piece, len(number))
                 if k == len(cores):
+                    keys.append(key)
                     cores.append(core)
                     weights.append(0)
                 weights[k] += weight
-                own.append(k)
-            places = batch.column(5)
-            which.append(np.repeat(own, np.diff(np.array(places.offsets))))
-            ids.append(batch.column(4).flatten())
-            begins.append(np.array(places.flatten()))
-        if not which:
+        if not number:
             return
         data = np.frombuffer(b"".join(number), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in number])])
@@ -196,29 +224,27 @@ def _search(window: int):
             firsts.append(first[1:] + firsts[-1][-1])
         first = np.concatenate(firsts)
         _, symbol = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes, data
         sizes = np.diff(first)
         begin = first[:-1] + np.arange(n)
-        text = np.zeros(len(symbol) + n, np.int64)
+        text = np.zeros(len(symbol) + n, np.int32)
         text[np.arange(len(symbol)) + np.repeat(np.arange(n), sizes)] = symbol + 1
         index = FMIndex(text, weight)
-        once = np.flatnonzero(weight < 2)
-        found = repeated_windows(index, text, begin[once], begin[once] + sizes[once], begin[once] + np.array(cores)[once], window)
+        found = repeated_windows(index, text, begin, begin + sizes, begin + np.array(cores), window)
         owner = np.repeat(np.arange(n), sizes - window + 1)
         within = ranges(np.zeros(n, np.int64), sizes - window + 1)
-        flags = found[begin[owner] + within] | (weight[owner] >= 2)
+        flags = found[begin[owner] + within]
         # runs of flagged windows of one stretch
         open_ = flags & ~np.concatenate([[False], flags[:-1] & (owner[1:] == owner[:-1])])
         close = flags & ~np.concatenate([flags[1:] & (owner[1:] == owner[:-1]), [False]])
-        run_owner, run_from, run_to = owner[open_], within[open_], within[close] + window
-        run_at = np.searchsorted(run_owner, np.arange(n + 1))
-        of = np.concatenate(which)
-        runs = run_at[of + 1] - run_at[of]
-        rows, picks = np.repeat(np.arange(len(of)), runs), ranges(run_at[of], runs)
-        start = np.concatenate(begins)[rows]
-        column = pa.chunked_array(ids).combine_chunks().take(pa.array(rows))
-        for a in range(0, len(rows), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([column.slice(a, 50_000), pa.array((start[s] + run_from[picks[s]]).astype(np.int32)), pa.array((start[s] + run_to[picks[s]]).astype(np.int32))], names=["row", "begin", "end"])
+        run_from, run_to = pa.array(within[open_].astype(np.int32)), pa.array((within[close] + window).astype(np.int32))
+        run_at = np.searchsorted(owner[open_], np.arange(n + 1))
+        some = np.flatnonzero(np.diff(run_at))
+        for a in range(0, len(some), 20_000):
+            part = some[a : a + 20_000]
+            lo, hi = run_at[part[0]], run_at[part[-1] + 1]
+            at = pa.array(np.append(run_at[part], hi).astype(np.int32) - np.int32(lo))  # stretches without a run add nothing between
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in part], pa.binary()), *(pa.ListArray.from_arrays(at, x.slice(lo, hi - lo)) for x in (run_from, run_to))], names=["key", "begins", "ends"])
 
     return run
 
@@ -277,9 +303,15 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     total = back.agg(F.sum(F.size("x"))).first()[0] or 0
     shards = max(1, -(-total * (window + (window - gram) // 2) // SHARD_WORDS))
     rows = _texts(source, back.join(classes, "row")).select("row", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
-    pieces = rows.mapInArrow(_cut(window, gram), "route bigint, stretch binary, core int, weight bigint, rows array<bigint>, starts array<int>")
-    spans = pieces.repartition(int(shards), "route").mapInArrow(_search(window), "row bigint, begin int, end int")
-    spans = cut(spans.groupBy("row").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
+    pieces = cut(rows.mapInArrow(_cut(window, gram), "route bigint, key binary, stretch binary, core int, weight bigint, rows array<bigint>, starts array<int>"), "stretches")
+    # an index needs to know how often a stretch stands; where, is joined to what it has found, as often as that may be
+    searched = pieces.select("route", "key", "stretch", "core", "weight").repartition(int(shards), "route").mapInArrow(_search(window), "key binary, begins array<int>, ends array<int>")
+    searched = cut(searched, "found")
+    placed = pieces.select("key", "rows", "starts").join(searched, "key").select(F.explode(F.arrays_zip("rows", "starts")).alias("p"), "begins", "ends")
+    shifted = lambda c: F.transform(c, lambda x: x + F.col("p.starts"))
+    spans = placed.select(F.col("p.rows").alias("row"), shifted("begins").alias("begins"), shifted("ends").alias("ends"))
+    spans = cut(spans.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends"))), "spans")
+    forget(back, pieces, searched)
     pruned = _texts(source, spans.join(classes, "row")).select("key", "text", "begins", "ends").mapInArrow(_prune, "key binary, left string, n_removed bigint, sum string")
     return found.select("id", "key", "n_words", "whole"), classes, pruned
 

@@ -75,6 +75,31 @@ def test_ids_that_repeat_or_are_null(spark):
     assert (1, clean) in {(r.doc_id, r.text) for r in without_repeats(df).collect()}
 
 
+def test_a_passage_of_many_documents_leaves_its_places_behind(spark, monkeypatch):
+    """A shard is handed different stretches and counts, however many documents share them."""
+    search = substring._search
+
+    def counted(window):
+        run = search(window)
+
+        def counting(batches):
+            def passing():
+                for b in batches:
+                    assert b.num_columns == 5
+                    yield b
+
+            return run(passing())
+
+        return counting
+
+    monkeypatch.setattr(substring, "_search", counted)
+    monkeypatch.setattr(substring, "MERGED", 4000)
+    monkeypatch.setattr(substring, "HOT", 20)
+    shared = prose(50, 60)
+    texts = [prose(i, 5) + " " + shared + " " + prose(1000 + i, 5) for i in range(150)]
+    check(spark, texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=60))
 def test_anchors_own_each_window_once(symbols):
@@ -102,6 +127,23 @@ def test_index_against_counting(seed):
         assert [bool(x) for x in found[b : b + len(s) - 5]] == [count[tuple(s[i : i + 6])] >= 2 for i in range(len(s) - 5)]
 
 
+def test_an_index_takes_about_the_entropy_of_its_text():
+    r = np.random.default_rng(1)
+    text = np.append(np.minimum(r.zipf(1.2, 40_000), 30_000), 0)
+    index = FMIndex(text, np.ones(1, int))
+    share = np.bincount(text) / len(text)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    held = sum(b.words.nbytes + b.counts.nbytes for b in [x[1] for x in index.classes] + [x[0] for x in index.levels])
+    assert 8 * held / len(text) < 1.5 * (entropy + 6) < 1.5 * int(text.max()).bit_length() * 1.5
+    plain = [int(x) for x in text]
+    for size in (1, 2, 3):  # counts of strings by backward search
+        for at in range(0, 300, 37):
+            want, lo, hi = plain[at : at + size], np.array([0]), np.array([len(text)])
+            for x in reversed(want):
+                lo, hi = index.extend(np.array([x]), lo, hi)
+            assert hi[0] - lo[0] == sum(plain[i : i + size] == want for i in range(len(plain) - size))
+
+
 def test_suffix_order():
     text = np.array([2, 1, 2, 1, 2, 0])
     rank = suffix_ranks(np.where(text == 0, 0, text + 1))

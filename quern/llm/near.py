@@ -3,12 +3,17 @@
 1. One pass turns each text into its set of word n-grams, a digest of that set and band hashes of its MinHash
    signature. Texts of equal sets form a *class*; classes are counted before anything is shuffled by band, so
    thousands of copies are one row from here on.
-2. Band hashes are shuffled. Each class is tied to the least class of each of its buckets: a bucket costs as many
-   rows as it has members, never its pairs. Components of these ties are the *families* in which links can be.
+2. Band hashes are shuffled with a sketch, a byte of each MinHash value. In each bucket sketches are compared, in blocks
+   where it is large; pairs whose sketches agree in far less than the threshold's share (by six standard deviations) are
+   no candidates. Tasks return a spanning forest of the rest, not pairs; its components are the *families* in which links
+   can be. Texts that share no more than a template thus meet in buckets but make no family.
 3. In each family every pair of classes is compared on its full sets by products of 0/1 matrices, in blocks of
    bounded size; a large family is dealt out over many tasks by block pair. Tasks return sums and a spanning
    forest of the links, not pairs.
 4. Components of the links are the result's classes of near copies.
+
+Words, n-grams and sets are equal where their hashes (64 bits, 64 bits, 128 bits) are: two of a million n-grams of a family
+are taken for one with a chance of about 3e-8, which moves a similarity by one gram.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, free_name, gram_hashes, prepare, scan_words, text_key, utf8
 from .graph import components
 
-#: Classes and n-grams that a block of a family holds at most (one class may hold more n-grams).
-BLOCK_CLASSES, BLOCK_GRAMS = 384, 400_000
+#: Classes and n-grams that a block of a family holds at most (one class may hold more n-grams); classes of a block of a
+#: bucket, and rows of buckets that are compared at a time.
+BLOCK_CLASSES, BLOCK_GRAMS, BLOCK_BUCKET, BUNDLE = 384, 400_000, 2048, 16_384
 _SEED = np.random.default_rng(7)
 _MULTIPLY = _SEED.integers(0, 1 << 31, 512, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _SEED.integers(0, 1 << 32, 512, dtype=np.uint32)
@@ -64,8 +70,8 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """Band hashes, one row for each of the sets, none of which is empty."""
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band hashes, a byte of each MinHash value), one row for each of the sets, none of which is empty."""
     sizes = np.array([len(s) for s in sets])
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -79,7 +85,90 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
             h = (h ^ mins[:, b * rows + r]) * np.uint64(0x9FB21C651E98DF25)
             h ^= h >> np.uint64(29)
         out[:, b] = h
-    return out.view(np.int64)
+    return out.view(np.int64), (mins * np.uint64(0x9FB21C651E98DF25) >> np.uint64(56)).astype(np.uint8)
+
+
+def least_agreement(threshold: float, hashes: int) -> int:
+    """How many of ``hashes`` bytes of two sketches agree at least if the sets' similarity is ``threshold`` or more, but
+    for a chance of about 1e-9."""
+    return max(1, math.floor(hashes * threshold - 6 * math.sqrt(hashes * threshold * (1 - threshold))))
+
+
+def forest(sketches: np.ndarray, group: np.ndarray, block: np.ndarray, across: np.ndarray, least: int) -> np.ndarray:
+    """For each row the first row that it is joined to by pairs of one group that agree in ``least`` bytes or more.
+
+    Rows of a group stand together. ``across``: of this group only pairs of different blocks count.
+    """
+    n = len(group)
+    label = np.arange(n)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, n))
+    size = np.repeat(sizes, sizes)
+    us, vs = [], []
+    for d in range(1, min(64, int(sizes.max(initial=1)))):  # small groups all together, by distance
+        u = np.flatnonzero((group[:-d] == group[d:]) & (size[:-d] <= 64))
+        u = u[~across[u] | (block[u] != block[u + d])]
+        u = u[(sketches[u] == sketches[u + d]).sum(1) >= least]
+        us.append(u)
+        vs.append(u + d)
+    if us:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        while len(u):
+            low = np.minimum(label[u], label[v])
+            before = label.copy()
+            np.minimum.at(label, u, low)
+            np.minimum.at(label, v, low)
+            label = label[label]
+            if (label == before).all():
+                break
+    for a, m in zip(first[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        own, part = np.arange(m), sketches[a : a + m]
+        for lo in range(0, m, 64):
+            link = (part[lo : lo + 64, None, :] == part[None, lo:, :]).sum(2) >= least
+            if across[a]:
+                link &= block[a + lo : a + min(lo + 64, m), None] != block[None, a + lo : a + m]
+            for r in range(len(link)):
+                met = np.unique(own[lo:][link[r]])
+                met = np.union1d(met, own[lo + r : lo + r + 1])
+                if len(met) > 1:
+                    own[np.isin(own, met)] = met[0]
+        label[a : a + m] = a + own
+    return label
+
+
+def _meet(least: int):
+    """Sorted rows (band, low, high, block, digest, sketch) to ties (a, b) of digests."""
+
+    def ties(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        key = np.stack([t.column(c).to_numpy() for c in ("band", "low", "high")], 1)
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]).any(1)]))
+        digests = t.column("digest").combine_chunks()
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
+        label = forest(sketches, group, t.column("block").to_numpy(), key[:, 1] != key[:, 2], least)
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([digests.take(pa.array(rest)), digests.take(pa.array(label[rest]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < BUNDLE:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)) for c in range(3)], 1)
+            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+            if len(turns):  # groups that this batch ends are whole; its last may go on
+                end = int(turns[-1]) + 1
+                yield ties([*held[:-1], batch.slice(0, end)])
+                held, size = [batch.slice(end)], batch.num_rows - end
+        if held:
+            yield ties(held)
+
+    return run
 
 
 def _sign(n: int, bands: int, rows: int):
@@ -89,14 +178,17 @@ def _sign(n: int, bands: int, rows: int):
             for a, b in chunks(offsets):
                 sets = list(gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sigs = signatures([sets[i] for i in full], bands, rows) if full else np.empty((0, bands), np.int64)
+                sigs, bytes_ = signatures([sets[i] for i in full], bands, rows) if full else (np.empty((0, bands), np.int64), np.empty((0, 1), np.uint8))
+                sketches: list = [None] * len(sets)
+                for i, x in zip(full, bytes_, strict=True):
+                    sketches[i] = x.tobytes()
                 has = np.zeros(len(sets), bool)
                 has[full] = True
                 keys: list = [digest(s) if len(s) else None for s in sets]
                 at = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sigs.ravel())), pa.array([len(s) for s in sets], pa.int32())],
-                    names=["id", "key", "digest", "bands", "grams"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sigs.ravel())), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches, pa.binary())],
+                    names=["id", "key", "digest", "bands", "grams", "sketch"],
                 )
 
     return run
@@ -156,12 +248,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     first = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")  # of a class the row of the least id speaks for it, null last
-    signed = cut(source.mapInArrow(_sign(n, bands, rows), f"id {kind}, key binary, digest binary, bands array<bigint>, grams int"), "signed")
-    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "classes")
-    banded = classes.select("digest", F.explode("bands").alias("band"))
-    hubs = cut(banded.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub"), "hubs")
-    ties = banded.join(hubs, "band").where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
-    family = cut(components(ties, "family").join(classes.select(F.col("digest").alias("node"), "first", "n", "grams"), "node"), "families")
+    signed = cut(source.mapInArrow(_sign(n, bands, rows), f"id {kind}, key binary, digest binary, bands array<bigint>, grams int, sketch binary"), "signed")
+    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch")), "classes")
+    banded = classes.select("digest", "sketch", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band", F.ceil(F.col("c") / BLOCK_BUCKET).cast("int").alias("blocks"))
+    met = banded.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "sketch")
+    ties = met.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_meet(least_agreement(threshold, bands * rows)), "a binary, b binary")
+    family = cut(components(ties.distinct(), "family").join(classes.select(F.col("digest").alias("node"), "first", "n", "grams"), "node"), "families")
     sizes = family.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = family.join(cut(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = source.join(placed.hint("shuffle_hash"), (F.col("key") == F.col("first.key")) & F.col("id").eqNullSafe(F.col("first.id"))).select(  # texts aren't sorted

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import near
 from quern.llm.graph import components
-from quern.llm.near import bands_for, jaccard_links, ngram_jaccard_join, one_of_each
+from quern.llm.near import bands_for, forest, jaccard_links, ngram_jaccard_join, one_of_each
 
 from .cases import empty, near_groups, odd, odd_rows, prose
 
@@ -92,6 +92,66 @@ def test_matrix_products_count_shared_grams(seed):
             assert link[i, j] == (i != j and both / (len(a) + len(b) - both) >= 0.5)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_forests_join_what_agrees_in_a_group(seed):
+    r = np.random.default_rng(seed)
+    sizes = r.integers(1, 9, 30).tolist() + [70, 150]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    kinds = r.integers(0, 40, len(group))
+    sketches = r.integers(0, 2, (41, 12)).astype(np.uint8)[kinds]
+    block, across = r.integers(0, 2, len(group)), np.repeat(r.integers(0, 2, len(sizes)).astype(bool), sizes)
+    label = forest(sketches, group, block, across, 10)
+    root = list(range(len(group)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(group)):
+        for j in range(i):
+            if group[i] == group[j] and (sketches[i] == sketches[j]).sum() >= 10 and (not across[i] or block[i] != block[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert label.tolist() == [find(i) for i in range(len(group))]
+
+
+def test_texts_of_one_template_make_no_family(spark, monkeypatch):
+    """Half of each text is a template: pairs meet in bands at a similarity of about a third, and are no candidates."""
+    template = prose(5, 150)
+    texts = [template + " " + prose(700 + i, 150) for i in range(120)] + family(12, seed=4)
+    compared = []
+    written = near.cut
+
+    def counted(df, name, *a):
+        out = written(df, name, *a)
+        if name == "families":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "cut", counted)
+    rows = ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert held(rows, texts, list(range(len(texts)))) and compared[0] <= 24
+
+
+def test_large_buckets_are_dealt_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_BUCKET", 5)
+    monkeypatch.setattr(near, "BUNDLE", 50)
+    texts = family(40, seed=3)
+    rows = ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert held(rows, texts, list(range(len(texts))))
+
+
+def test_recall_of_links_on_a_table(spark):
+    """All links of sf0.01 by comparing all pairs of its rows: as many are found as there are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    root, links = near_groups([texts[i] for i in ids])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect()}
+    assert sum(links) > 100 and got == {i: (ids[a], n) for i, a, n in zip(ids, root, links, strict=True)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

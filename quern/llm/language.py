@@ -62,6 +62,14 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
+def gram_components(gram: str) -> int:
+    """The component of one n-gram, in which a blank stands for a run of what is no letter."""
+    h = 0
+    for c in gram:
+        h = (h * 0x9E3779B97F4A7C15 + (0 if c == " " else ord(c)) + 1) % (1 << 64)
+    return h * 0xBF58476D1CE4E5B9 % (1 << 64) >> (64 - 12)
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -135,13 +143,15 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", mo
     """A model of the languages of ``docs``; rows of null language count only for document frequencies, and null texts
     not at all. None if no text has a language.
 
-    Of a language of more than ``most_rows`` rows about that many are clustered, by a hash of the text: that bounds
-    the driver's memory. The number of languages is taken to be small.
+    Of a language of more than ``most_rows`` different texts about that many are clustered, by a hash of the text, each
+    once however many copies it has: that bounds the driver's memory and leaves no language to its copies. The number of
+    languages is taken to be small.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("text", F.lit(11))
+    sizes = {r["lang"]: r["n"] for r in rows.where("lang is not null").groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not sizes:
         return None
     counted = rows.select("text").mapInArrow(_frequencies, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
@@ -151,7 +161,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", mo
     share = F.lit(0.0)
     for lang, count in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, most_rows / count))).otherwise(share)
-    taken = rows.where("lang is not null").where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    taken = rows.where("lang is not null").where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20))
+    taken = taken.groupBy("lang", key.alias("key")).agg(F.first("text").alias("text"))  # a copy is left of a text in each task before any is sent
     table = taken.select("text", "lang").mapInArrow(_vectors(idf), "x binary, lang string").toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float16).reshape(-1, SIZE).astype(np.float32)

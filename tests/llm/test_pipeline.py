@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quern.llm.common import cut
 from quern.llm.queries import queries
@@ -38,9 +40,20 @@ def test_stages_in_turn(spark):
 
 
 def test_stages_of_odd_and_empty_tables(spark, tmp_path):
-    for table in (odd(spark, False), odd(spark, False).limit(0), spark.createDataFrame([(None,) * 5] * 3, DOCS)):
+    for table in (odd(spark), odd(spark, False).limit(0), spark.createDataFrame([(None,) * 5] * 3, DOCS)):
         kept = table
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             kept = cut(stage(spark, kept, SF), "stage")
+            assert name == corpus_pipeline.STAGES[-1][0] or kept.columns == table.columns
         assert kept.count() >= 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    df = odd(spark).where("text is not null").select("doc_id", "text", F.lit("mine").alias("_toxicity"), F.lit("too").alias("_quern_score"))
+    tame = corpus_pipeline.drop_toxic(spark, df, SF)
+    assert tame.columns == df.columns and {(r[2], r[3]) for r in tame.collect()} == {("mine", "too")}
+    assert corpus_pipeline.drop_repeated_passages(spark, df, SF).columns == df.columns  # without n_chars
+
+
+def test_near_copies_of_an_empty_table(spark):
     assert cut(corpus_pipeline.drop_near_copies(spark, empty(spark), SF), "none").count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, forget
+from quern.llm.common import cut, forget, free_name
 from quern.llm.near import one_of_each
 from quern.llm.packing import pack
 from quern.llm.quality import keep_good
@@ -20,29 +20,56 @@ from quern.llm.toxicity import in_fold, learn, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model learned from ``labels`` scores below the threshold; without labels all stay."""
+    """Documents that the model learned from ``labels`` scores below the threshold, their rows and columns as they are.
+
+    Null, empty and blank texts hold nothing toxic and get the score of nothing; long texts are read whole, by their
+    worst windows; equal texts get equal scores, so repeated rows stay or go together. Without labels of both classes all
+    stay. Other columns may be null and have any names. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~in_fold("doc_id", 3, 1))
-    scored = toxicity(docs, learn(docs, labels), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = free_name(docs, "_quern_score")
+    scored = toxicity(docs, learn(docs, labels), score_col=score)
+    return scored.where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects, their rows and columns as they are.
+
+    Null, empty and blank texts have no words and go; long texts are counted whole; repeated rows fare alike. Other columns
+    may be null and have any names. An empty table stays empty.
+    """
     return keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    The row of the least id stays, null ids last, then that of the least digest of the text; of repeated rows one. Null,
+    empty and blank texts are no one's copies and stay (rows without id and words all of them). Ids may be null or stand at
+    several texts: a text is known by its digest. Other columns may have any names. An empty table stays empty.
+    """
     return one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows of 35 that stand elsewhere too; n_chars follows the text."""
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the words of windows of 35 that stand elsewhere too, all of them, the same text included; n_chars,
+    where the table has it, follows the text.
+
+    Texts that lose nothing stay as they are, null and blank ones too; documents that lose all words go, so of repeated
+    rows, whose every window stands twice, none stays. Ids may be null or repeated. An empty table stays empty.
+    """
+    left = without_repeats(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 2048 ids."""
+    """Token pieces in sequences of at most 2048 ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of the end id; only longer texts than a sequence are cut. Repeated rows are
+    documents of their own; ids may be null. Other columns are ignored. An empty table gives no rows.
+    """
     return pack(docs, tokenizer=word_file())
 
 

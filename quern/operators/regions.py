@@ -90,38 +90,39 @@ def cluster_lines(lines: list[Segment], tolerance: float = GRID_TOLERANCE) -> li
     return out
 
 
-def _without_frame(lines: list[Segment]) -> list[Segment]:
-    """Without the outermost lines that run over more than half of the longest extent: a page's frame."""
-    outer, longest = (min(s.fix for s in lines), max(s.fix for s in lines)), max(s.hi - s.lo for s in lines)
-    return [s for s in lines if s.fix not in outer or s.hi - s.lo <= 0.5 * longest]
+def _ruling(lo: np.ndarray, hi: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Lines of one direction as rows (coordinate, begin, end), from the sides of boxes; without a page's frame, the
+    outermost lines that run over more than half of the longest extent."""
+    sides = [Segment(*x) for x in zip(np.concatenate([lo, hi]).tolist(), np.tile(from_, 2).tolist(), np.tile(to, 2).tolist(), strict=True)]
+    lines = np.array([(s.fix, s.lo, s.hi) for s in cluster_lines(sides)]).reshape(-1, 3)
+    if not len(lines):
+        return lines
+    outer = np.isin(lines[:, 0], [lines[:, 0].min(), lines[:, 0].max()])
+    extent = lines[:, 2] - lines[:, 1]
+    return lines[~(outer & (extent > extent.max() / 2))] if len(lines) > 1 else lines
 
 
 def detect_tables(g: Glyphs, boxes: list[tuple[float, float, float, float]]) -> list[Table]:
-    """Tables with a full grid, drawn as boxes (x0, y0, x1, y1), from the top."""
-    solid = [b for b in boxes if b[2] - b[0] >= BOX_MIN and b[3] - b[1] >= BOX_MIN]
-    across = cluster_lines([Segment(y, b[0], b[2]) for b in solid for y in (b[1], b[3])])
-    down = cluster_lines([Segment(x, b[1], b[3]) for b in solid for x in (b[0], b[2])])
-    if len(across) < 2 or len(down) < 2:
-        return []
-    across, down = _without_frame(across), _without_frame(down)
-    if len(across) < 2 or len(down) < 2:
-        return []
-    groups: list[list[Segment]] = []
-    for line in sorted(down, key=lambda s: (s.lo, s.hi)):
-        if groups and abs(line.lo - groups[-1][0].lo) <= SPAN_TOLERANCE and abs(line.hi - groups[-1][0].hi) <= SPAN_TOLERANCE:
-            groups[-1].append(line)
-        else:
-            groups.append([line])
-    tables = []
-    for columns in groups:
-        bot, top = columns[0].lo, columns[0].hi
-        rows = [s for s in across if bot - 2 <= s.fix <= top + 2]
-        xs = np.sort([s.fix for s in columns])
-        if len(xs) < 2 or xs[-1] - xs[0] <= 0.5 or len(rows) < 2:
-            continue
-        text = render_table(g, np.sort([s.fix for s in rows]), xs, np.flatnonzero((g.y <= top + 5) & (g.y >= bot - 5)))
-        if text.strip(SPACES):
-            tables.append(Table(top, bot, text))
+    """Tables with a full grid, drawn as boxes (x0, y0, x1, y1), from the top.
+
+    Upright lines of nearly one extent are the columns of a table, level lines within that extent its rows; a table has
+    two of each, and text.
+    """
+    box = np.array(boxes, float).reshape(-1, 4)
+    box = box[((box[:, 2:] - box[:, :2]) >= BOX_MIN).all(axis=1)]
+    level, upright = _ruling(box[:, 1], box[:, 3], box[:, 0], box[:, 2]), _ruling(box[:, 0], box[:, 2], box[:, 1], box[:, 3])
+    upright = upright[np.lexsort((upright[:, 2], upright[:, 1]))]
+    tables, k = [], 0
+    while k < len(upright):
+        _, bot, top = upright[k]
+        same = (np.abs(upright[k:, 1:] - (bot, top)) <= SPAN_TOLERANCE).all(axis=1)
+        n = int(np.argmin(same)) if not same.all() else len(same)
+        xs, ys = np.sort(upright[k : k + n, 0]), np.sort(level[(level[:, 0] >= bot - 2) & (level[:, 0] <= top + 2), 0])
+        k += n
+        if min(len(xs), len(ys)) > 1 and np.ptp(xs) > 0.5:
+            inside = np.flatnonzero((g.y <= top + 5) & (g.y >= bot - 5))
+            if (text := render_table(g, ys, xs, inside)).strip(SPACES):
+                tables.append(Table(float(top), float(bot), text))
     return sorted(tables, key=lambda t: -t.top)
 
 

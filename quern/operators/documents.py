@@ -87,9 +87,13 @@ def delete_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_anti")
 
 
-def claim(documents: DataFrame, n: int = 1, *, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents after, claimed): the ``n`` oldest pending documents go to processing."""
+def claim(documents: DataFrame, n: int | None = 1, *, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents after, claimed): the ``n`` oldest pending documents go to processing; None: all, without a sort."""
     now = F.current_timestamp() if now is None else now
+    if n is None:
+        mine = F.col("status") == "pending"
+        after = documents.withColumn("updated_at", F.when(mine, now).otherwise(F.col("updated_at"))).withColumn("status", F.when(mine, F.lit("processing")).otherwise(F.col("status")))
+        return after, documents.where(mine).withColumns({"status": F.lit("processing"), "updated_at": now})
     taken = documents.where("status = 'pending'").orderBy("created_at", "id").limit(n).select("id").withColumn("_taken", F.lit(True))
     marked = documents.join(taken, "id", "left")
     after = marked.withColumn("status", F.when(F.col("_taken"), F.lit("processing")).otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("_taken"), now).otherwise(F.col("updated_at")))

@@ -36,10 +36,10 @@ def ingest_stream(engine: Engine, files: DataFrame, checkpoint: str, *, once: bo
 
     def take(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            engine.recover()
             engine.accept(batch.drop("content"))
             engine.run(batch)
 
+    engine.recover()
     writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 

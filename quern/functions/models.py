@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -65,8 +66,8 @@ def scorer(model: Callable[[str, list[str]], list[float | None]]) -> Callable[[C
                 scores = model(text, content.loc[rows].tolist())
                 if len(scores) == len(rows):
                     out.loc[rows] = scores
-            except Exception:
-                continue
+            except Exception as error:
+                logging.getLogger(__name__).warning("no scores for %d texts: %s: %s", len(rows), type(error).__name__, error)
         return out
 
     return run

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: that limits repeats of one term.
 RRF_K = 60
 LEXEME_WEIGHT, REPEAT_LIMIT = 0.1, 1.64493406685
+#: Places of one lexeme that count, and the last place in a text; later ones count as that one.
+MOST_PLACES, LAST_PLACE = 256, 16382
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,22 +64,31 @@ def _near(distance: Column) -> Column:
     return F.when(distance > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
 
 
+def counted_places(hits: Column) -> Column:
+    """The places that a text vector keeps, in order of term and place."""
+    kept = F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.struct(h["t"].alias("t"), F.least(h["p"], F.lit(LAST_PLACE)).alias("p")))))
+    return let(kept, lambda x: F.filter(x, lambda h, i: (i < MOST_PLACES) | (F.get(x, i - MOST_PLACES)["t"] != h["t"])))
+
+
 def ts_rank(hits: Column) -> Column:
     """Text rank of the places where a query's terms stand: ``hits`` is array<struct<t string, p int>>.
 
     One term: its weight by the sum of inverse squares of its repeats' numbers. More: all pairs of places of
     different terms, nearer pairs weighing more, combined as independent chances. There is no inverse document
-    frequency and no normalisation by length.
+    frequency and no normalisation by length. Only the first MOST_PLACES of a term count, which bounds the pairs.
     """
-    single = F.aggregate(F.sequence(F.lit(1), F.size(hits)), F.lit(0.0), lambda s, j: s + 1.0 / (j * j)) * (LEXEME_WEIGHT / REPEAT_LIMIT)
 
-    def pairs(hit: Column) -> Column:
-        others = F.filter(hits, lambda o: (o["t"] > hit["t"]) & (o["p"] != hit["p"]))
+    def pairs(kept: Column, hit: Column) -> Column:
+        others = F.filter(kept, lambda o: (o["t"] > hit["t"]) & (o["p"] != hit["p"]))
         return F.aggregate(others, F.lit(1.0), lambda s, o: s * (1 - F.sqrt(LEXEME_WEIGHT * LEXEME_WEIGHT * _near(F.abs(o["p"] - hit["p"])))))
 
-    many = 1 - F.aggregate(hits, F.lit(1.0), lambda s, h: s * pairs(h))
-    terms = F.size(F.array_distinct(F.transform(hits, lambda h: h["t"])))
-    return F.when(F.size(hits) == 0, F.lit(0.0)).when(terms == 1, single).otherwise(many)
+    def rank(kept: Column) -> Column:
+        single = F.aggregate(F.sequence(F.lit(1), F.size(kept)), F.lit(0.0), lambda s, j: s + 1.0 / (j * j)) * (LEXEME_WEIGHT / REPEAT_LIMIT)
+        many = 1 - F.aggregate(kept, F.lit(1.0), lambda s, h: s * pairs(kept, h))
+        terms = F.size(F.array_distinct(F.transform(kept, lambda h: h["t"])))
+        return F.when(F.size(kept) == 0, F.lit(0.0)).when(terms == 1, single).otherwise(many)
+
+    return let(counted_places(hits), rank)
 
 
 def token_hits(tokens: Column, wanted: Column) -> Column:

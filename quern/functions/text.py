@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,16 +74,22 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, PLAIN_SEPARATORS), trimmed), lambda t: F.length(t) >= 2)
 
 
-def tokens(text: Column) -> Column:
-    """Index tokens in order: runs of letters and digits, and overlapping pairs of each run of CJK characters.
+#: Cuts a text (a Column) into words (an array of strings), as ``quern.functions.segment`` does.
+Segment = Callable[[Column], Column]
 
-    A dictionary segmenter can take this function's place; pairs keep every two-character word findable. Tokens of
-    one character, and those with a character that is never indexed, are left out. Texts without CJK characters, the
-    most, need one pass of one pattern.
+
+def tokens(text: Column, segment: Segment | None = None) -> Column:
+    """Index tokens in order: runs of letters and digits, and of each run of CJK characters the words that ``segment``
+    finds, or overlapping pairs without one, which keep every two-character word findable.
+
+    Tokens of one character, and those with a character that is never indexed, are left out. Texts without CJK
+    characters, the most, need one pass of one pattern.
     """
     whole = F.coalesce(text, F.lit(""))
     latin = F.regexp_extract_all(whole, F.lit(_LATIN_TOKEN), F.lit(1))
     runs = F.regexp_extract_all(whole, F.lit(rf"{_CJK}+|[^\s{_CJK[1:]}+"), F.lit(0))
+    if segment is not None:
+        return F.when(F.rlike(whole, F.lit(_CJK)), F.filter(segment(whole), lambda t: (F.length(t) >= 2) & F.rlike(t, F.lit(INDEXED)))).otherwise(latin)
     pairs = F.transform(
         runs,
         lambda r: F.when(F.rlike(r, F.lit(f"^{_CJK}{{3,}}")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))).otherwise(
@@ -93,8 +100,8 @@ def tokens(text: Column) -> Column:
     return F.when(F.rlike(whole, F.lit(_CJK)), mixed).otherwise(latin)
 
 
-def search_string(text: Column) -> Column:
-    return F.array_join(tokens(text), " ")
+def search_string(text: Column, segment: Segment | None = None) -> Column:
+    return F.array_join(tokens(text, segment), " ")
 
 
 def snippet(text: Column, n: int = 200) -> Column:

@@ -8,6 +8,7 @@ idx), so results are the same in every run. Who may see a chunk is decided befor
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import RRF_K, rrf, set_similarity, token_hits, trigrams, ts_rank
-from ..functions.text import lex_terms, tokens
+from ..functions.text import Segment, lex_terms, tokens
 
 KEY = ["document_id", "page", "idx"]
 PAYLOAD = ["id", "document_id", "user_id", "filename", "page", "idx", "content"]
-#: Queries whose vectors go to every task; more are dealt out in blocks of as many against blocks of chunks.
-QUERY_BLOCK, CHUNK_BLOCK = 4096, 50_000
+#: Queries, and bytes of their columns, that go to every task; more are dealt out in blocks against blocks of chunks.
+QUERY_BLOCK, QUERY_BYTES, CHUNK_BLOCK = 4096, 64 << 20, 50_000
+#: Terms of a batch by which tokens are sifted before they become rows.
+TERM_BLOCK = 20_000
 #: How much further than k the text paths look, and the literal one.
 TEXT_FETCH = 5
 
@@ -94,29 +97,34 @@ def _best(queries: pd.DataFrame, chunks: pd.DataFrame, k: int) -> pd.DataFrame:
 def vector_scores(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, document_id, page, idx, score): candidates that hold each query's ``k`` nearest by cosine, exactly.
 
-    Only vectors and keys travel; texts are joined to the winners. A small batch of queries (counted first) goes to
-    every task and chunks stay where they are; a large one meets the chunks block by block.
-    """
+    Only vectors and keys travel; texts are joined to the winners."""
     cs = chunks.where(usable(F.col("embedding"))).select(*KEY, "user_id", "embedding")
     qs = with_defaults(queries).where(usable(F.col("embedding"))).select("qid", "user_id", "document_ids", "embedding")
     schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in KEY) + f", qid {queries.schema['qid'].dataType.simpleString()}, score double"
-    few = qs.limit(QUERY_BLOCK + 1).toPandas()
-    if len(few) <= QUERY_BLOCK:
+    return meet(cs, qs, lambda q, c: _best(q, c, k), schema)
+
+
+def meet(chunks: DataFrame, queries: DataFrame, best: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``best(queries, chunks)`` of all, piece by piece. A batch of queries that is small, counted and weighed first, goes
+    to every task and chunks stay where they are; a larger one meets them block by block."""
+    few = queries.limit(QUERY_BLOCK + 1).toPandas()
+    if len(few) <= QUERY_BLOCK and few.memory_usage(deep=True).sum() <= QUERY_BYTES:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf) and len(few):
-                    yield _best(few, pdf, k)
+                    yield best(few, pdf)
 
-        return cs.mapInPandas(run, schema)
-    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((cs, CHUNK_BLOCK), (qs, QUERY_BLOCK)))
-    cs = cs.withColumn("b", F.pmod(F.xxhash64(*KEY), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    qs = qs.withColumn("p", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return chunks.mapInPandas(run, schema)
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((chunks, CHUNK_BLOCK), (queries, QUERY_BLOCK)))
+    cs = chunks.withColumn("b", F.pmod(F.xxhash64(*KEY), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    qs = queries.withColumn("p", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return _best(q, c, k) if len(q) and len(c) else pd.DataFrame(columns=[*KEY, "qid", "score"])
+    def both(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return best(q, c)[names] if len(q) and len(c) else pd.DataFrame(columns=names)
 
-    return qs.groupBy("b", "p").cogroup(cs.groupBy("b", "p")).applyInPandas(meet, schema)
+    return qs.groupBy("b", "p").cogroup(cs.groupBy("b", "p")).applyInPandas(both, schema)
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, *, threshold: float = 0.0, coarse_limit: int | None = None) -> DataFrame:
@@ -147,22 +155,26 @@ def inverted_index(chunks: DataFrame) -> DataFrame:
     return places.groupBy("t", *KEY).agg(F.array_sort(F.collect_list("p")).alias("places"))
 
 
-def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int, *, index: DataFrame | None = None) -> DataFrame:
+def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int, *, index: DataFrame | None = None, segment: Segment | None = None) -> DataFrame:
     """(qid, key, score, rank): chunks that hold every token of the query, by text rank, ``k`` of each.
 
     Tokens meet by equality, so this is a hash join on tokens, not a scan of all pairs; only places of a query's
     tokens are gathered by chunk. Queries without a token match nothing. ``index``: an ``inverted_index`` of ``chunks``.
     """
-    wanted = with_defaults(queries).select("qid", "user_id", "document_ids", F.array_distinct(F.transform(tokens(F.col("text")), F.lower)).alias("wanted"))
+    wanted = with_defaults(queries).select("qid", "user_id", "document_ids", F.array_distinct(F.transform(tokens(F.col("text"), segment), F.lower)).alias("wanted"))
     terms = wanted.select("qid", F.size("wanted").alias("many"), F.explode("wanted").alias("t"))
     if index is None:
-        held = F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"))
-        places = chunks.select(*KEY, F.posexplode(held).alias("p", "raw")).select(*KEY, "p", F.lower("raw").alias("t"))
+        held = F.transform(F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"), segment), F.lower)
+        placed = F.transform(held, lambda t, p: F.struct(p.alias("p"), t.alias("t")))
+        few = [r[0] for r in terms.select("t").distinct().limit(TERM_BLOCK + 1).collect()]
+        if len(few) <= TERM_BLOCK:  # else all tokens become rows, and the join sifts them
+            placed = F.filter(placed, lambda x: x["t"].isin(few))
+        places = chunks.select(*KEY, "user_id", F.inline(placed))
     else:
-        places = index.join(terms.select("t").distinct(), "t", "left_semi").select(*KEY, "t", F.explode("places").alias("p"))
-    hits = places.join(terms, "t").groupBy("qid", "many", *KEY).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("hits"))
+        places = index.join(terms.select("t").distinct(), "t", "left_semi").select(*KEY, "t", F.explode("places").alias("p")).join(chunks.select(*KEY, "user_id"), KEY)
+    hits = places.join(terms, "t").groupBy("qid", "many", "user_id", *KEY).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("hits"))
     full = hits.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["t"]))) == F.col("many"))
-    scoped = full.join(chunks.select(*KEY, "user_id"), KEY).alias("c").join(wanted.alias("q"), "qid").where(in_scope())
+    scoped = full.alias("c").join(wanted.alias("q"), "qid").where(in_scope())
     ranked = scoped.select("qid", *(F.col(f"c.{c}") for c in KEY), F.round(ts_rank(F.col("hits")), 6).alias("score"))
     return top(ranked, k)
 
@@ -183,16 +195,98 @@ def any_term(content: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.ilike(content, F.concat(F.lit("%"), t, F.lit("%"))))
 
 
+def _pattern(term: str) -> re.Pattern | None:
+    """What a term with wildcards matches, in lower case; None for one without."""
+    if not re.search(r"[%_\\]", term):
+        return None
+    parts = re.findall(r"\\(?s:.)|(?s:.)", term)
+    return re.compile("".join({"%": ".*", "_": "."}.get(x, re.escape(x[-1])) for x in parts), re.S)
+
+
+class Terms:
+    """Finds which of many terms stand in a text, in one pass over it where a matcher for that is installed."""
+
+    def __init__(self, terms: list[str], wild: bool = True) -> None:
+        self.patterns = {t: p for t in terms if wild and (p := _pattern(t)) is not None}
+        self.plain = [t for t in terms if t not in self.patterns]
+        self.machine = None
+        if len(self.plain) > 32:
+            try:
+                import ahocorasick
+            except ImportError:  # then each term is looked for alone
+                return
+            self.machine = ahocorasick.Automaton()
+            for t in self.plain:
+                self.machine.add_word(t, t)
+            self.machine.make_automaton()
+
+    def found(self, text: str) -> set[str]:
+        hit = {t for _, t in self.machine.iter(text)} if self.machine is not None else {t for t in self.plain if t in text}
+        return hit | {t for t, p in self.patterns.items() if p.search(text)}
+
+
+def _grams(text: str) -> set[str]:
+    """``trigrams`` of one text in lower case."""
+    return {w[i : i + 3] for word in set(re.findall(r"[^\W_]+", text)) for w in (f"  {word} ",) for i in range(len(w) - 2)}
+
+
+def _literal(queries: pd.DataFrame, chunks: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Pairs of each query with chunks in which a term stands; those that can't be among its ``k`` best are left out."""
+    asked = [([t.lower() for t in terms], set(grams), user, listed) for terms, grams, user, listed in zip(queries["terms"], queries["grams"], queries["user_id"], queries["document_ids"], strict=True)]
+    by_term: dict[str, list[int]] = {}
+    for n, (terms, *_) in enumerate(asked):
+        for t in set(terms):
+            by_term.setdefault(t, []).append(n)
+    matcher, found = Terms(list(by_term)), [[] for _ in asked]
+    owners, documents = chunks["user_id"].tolist(), chunks["document_id"].astype(str).tolist()
+    for row, content in enumerate(chunks["content"]):
+        if not isinstance(content, str):
+            continue
+        low = content.lower()
+        who = {n for t in matcher.found(low) for n in by_term[t]}
+        held = _grams(low) if who else set()
+        for n in who:
+            _, grams, user, listed = asked[n]
+            if isinstance(user, str) and user and owners[row] != user:
+                continue
+            if listed is not None and not isinstance(listed, float) and len(listed) and documents[row] not in set(listed):
+                continue
+            both = len(held & grams)
+            found[n].append((both / (len(held) + len(grams) - both) if held or grams else 0.0, row))
+    rows, which, scores = [], [], []
+    for n, pairs in enumerate(found):
+        if len(pairs) > k:
+            least = sorted((x for x, _ in pairs), reverse=True)[k - 1] - 1e-5  # what may be equal once rounded stays
+            pairs = [p for p in pairs if p[0] >= least]
+        scores += [x for x, _ in pairs]
+        rows += [r for _, r in pairs]
+        which += [n] * len(pairs)
+    return chunks[KEY].iloc[rows].reset_index(drop=True).assign(qid=queries["qid"].to_numpy()[which], score=np.array(scores, float))
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, key, score, rank): chunks in which a term of the query stands literally, by trigram similarity of content
-    and whole query, ``k`` of each. Every chunk is compared with every query's terms: literal matching has no key."""
+    """(qid, key, score, rank): chunks in which a term of the query stands literally (``%`` and ``_`` are wildcards, ``\\``
+    escapes), by trigram similarity of content and whole query, ``k`` of each. Each text is read once for the terms of all
+    queries, its trigrams are made only where one stands in it, and only keys and scores of its best leave a task."""
     asked = with_defaults(queries).select("qid", "user_id", "document_ids", lex_terms(F.col("text")).alias("terms"), trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
-    asked = asked.where(F.size("terms") > 0)
-    hit = in_scope() & any_term(F.col("c.content"), F.col("q.terms"))
-    held = chunks.select(*KEY, "user_id", "content", trigrams(F.col("content")).alias("grams"))  # once for each chunk, however many ask
-    met = held.alias("c").join(asked.alias("q"), hit)
-    scored = met.select("qid", *(F.col(f"c.{c}") for c in KEY), F.round(set_similarity(F.col("c.grams"), F.col("q.grams")), 6).alias("score"))
-    return top(scored, k)
+    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in KEY) + f", qid {queries.schema['qid'].dataType.simpleString()}, score double"
+    met = meet(chunks.select(*KEY, "user_id", "content"), asked.where(F.size("terms") > 0), lambda q, c: _literal(q, c, k), schema)
+    return top(met.withColumn("score", F.round("score", 6)), k)
+
+
+def passages_in(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, key): the chunks that hold each of ``passages`` (qid, text) as it is. Each text is read once for all."""
+    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in KEY) + f", qid {passages.schema['qid'].dataType.simpleString()}"
+
+    def pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        by_text: dict[str, list] = {}
+        for qid, text in zip(q["qid"], q["text"], strict=True):
+            by_text.setdefault(text, []).append(qid)
+        matcher = Terms(list(by_text), wild=False)
+        found = [(row, qid) for row, content in enumerate(c["content"]) if isinstance(content, str) for t in matcher.found(content) for qid in by_text[t]]
+        return c[KEY].iloc[[r for r, _ in found]].reset_index(drop=True).assign(qid=[qid for _, qid in found])
+
+    return meet(chunks.select(*KEY, "content"), passages.where(F.length("text") > 0).select("qid", "text"), pairs, schema)
 
 
 # ---------------------------------------------------------------- fusion
@@ -207,23 +301,27 @@ def rrf_merge(lists: list[DataFrame], k: int, *, threshold: float = 0.0) -> Data
 
 def hybrid_search(
     chunks: DataFrame, queries: DataFrame, k: int = 5, *, threshold: float = 0.0, threshold_on: str = "all", hybrid: bool = True,
-    fusion: str = "nested", coarse_limit: int | None = None, paths: Callable[[str, Exception], None] | None = None,
+    fusion: str = "nested", coarse_limit: int | None = None, paths: Callable[[str, Exception], None] | None = None, segment: Segment | None = None,
 ) -> DataFrame:
     """(qid, PAYLOAD, score, score_kind, rank): vector, full-text and literal search, fused.
 
     ``nested`` fuses vector and full-text first, cuts to ``k``, and fuses the rest with the literal list; ``flat``
     fuses the three at once. ``threshold`` holds for cosines and, unless ``threshold_on`` is "vector", for fused
-    scores, which can't exceed 3 / (RRF_K + 1). A text path whose plan fails is reported to ``paths`` and left out; a failing
-    vector path fails the search. Queries with a blank text are searched by vector alone.
+    scores, which can't exceed 3 / (RRF_K + 1). With ``paths``, which is for small batches, each text path is run at once:
+    one that fails, in its plan or while it runs, is reported there and left out. A failing vector path fails the search.
+    Queries with a blank text are searched by vector alone. ``segment`` cuts words in texts and queries (see ``tokens``).
     """
     vector = vector_search(chunks, queries, k, threshold=threshold, coarse_limit=coarse_limit)
     if hybrid:
         if threshold_on == "all" and threshold > 2 / (RRF_K + 1):
             warnings.warn(f"no fused score of two lists reaches {threshold}; threshold_on='vector' leaves them alone", stacklevel=2)
         lists = []
-        for name, path in (("full text", fulltext_search), ("literal", lexical_search)):
+        fulltext = lambda c, q, n: fulltext_search(c, q, n, segment=segment)
+        for name, path in (("full text", fulltext), ("literal", lexical_search)):
             try:
-                lists.append(path(chunks, queries, k * TEXT_FETCH))
+                found = path(chunks, queries, k * TEXT_FETCH)
+                # a handful of rows for each question: what has run can't fail later
+                lists.append(found if paths is None else found.sparkSession.createDataFrame(found.collect(), found.schema))
             except Exception as error:
                 if paths is None:
                     raise

@@ -112,3 +112,42 @@ def test_a_failing_scorer_gives_nulls(spark):
 
     df = spark.createDataFrame([("q", "ab"), ("bad", "x")], "q string, c string")
     assert {r.q: r.s for r in df.select("q", scorer(model)(F.col("q"), F.col("c")).alias("s")).collect()} == {"q": 2.0, "bad": None}
+
+
+def test_words_by_a_dictionary(spark):
+    from quern.functions.segment import Dictionary, segmenter
+
+    d = Dictionary.read(["钢管 50", "受剪 30", "承载力 40 n", "承载 20", "公式 10", "管受"])
+    assert d.path("钢管受剪承载力公式") == ["钢管", "受剪", "承载力", "公式"] and d.path("钢铁") == ["钢", "铁"] and d.path("") == []
+    assert d.words("cotθ, 钢管受剪承载力。x") == ["cotθ", "钢管", "受剪", "承载", "承载力", "x"]
+    cut = segmenter(d)
+    df = spark.createDataFrame([("钢管受剪承载力公式 cotθ",), ("plain words, here",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(tx.tokens(F.col("t"), cut)).collect()]
+    assert got == [["钢管", "受剪", "承载", "承载力", "公式", "cotθ"], ["plain", "words", "here"], [], []]
+    assert got[1] == df.select(tx.tokens(F.col("t"))).collect()[1][0]
+
+
+def test_places_that_count(spark):
+    hits = [("b", 5), ("a", 3), ("a", 3), ("a", 99_999), ("a", 50_000)] + [("c", i) for i in range(400)]
+    df = spark.createDataFrame([(hits,)], "h array<struct<t: string, p: int>>")
+    kept = df.select(sim.counted_places(F.col("h"))).first()[0]
+    assert [tuple(x) for x in kept] == [("a", 3), ("a", 16382), ("b", 5)] + [("c", i) for i in range(256)]
+
+
+def test_rank_as_a_function_of_sql(spark):
+    from quern.functions.register import register
+
+    register(spark)
+    texts = ["steel tube and Steel tube of steel", "tube", "none at all", "steel " * 300, ""]
+    df = spark.createDataFrame([(t, w) for t in texts for w in (["steel", "tube"], ["steel"], [])], "t string, w array<string>").withColumn("ts", tx.tokens(F.col("t")))
+    rows = df.select(F.expr("ts_rank_simple(ts, w)").alias("a"), sim.ts_rank(sim.token_hits(F.transform("ts", F.lower), F.col("w"))).alias("b")).collect()
+    assert all(abs(r.a - r.b) < 1e-12 for r in rows) and max(r.a for r in rows) > 0
+
+
+def test_event_streams():
+    from quern.sources.events import decode, encode
+
+    sent = [("progress", {"stage": "embed"}), ("result", [1, "ü\nx"]), ("error", "boom")]
+    assert list(decode(encode(sent))) == sent
+    assert list(decode([": hello", "data: a", "data: b", "", "id: 7", "event: x", "data:{}"])) == [("message", "a\nb"), ("x", {})]
+    assert list(decode([])) == []

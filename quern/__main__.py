@@ -1,4 +1,5 @@
-"""Command line: ingest, list, search, ask, rechunk, delete and check evaluation data over a store.
+"""Command line over a store: ingest, list, search, ask, rechunk, delete, and evaluation: check its data, gate facts, run
+queries, judge answers.
 
     python -m quern --store PATH --user NAME [--admin NAME]... COMMAND ...
 """
@@ -9,7 +10,8 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import evaluation
 from .plans.engine import Engine, NotAllowed, NotFound, Question
@@ -40,12 +42,29 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--size", type=int)
     r.add_argument("--overlap", type=int)
     c.add_parser("delete").add_argument("document")
-    g = c.add_parser("check-queries")
+    g = c.add_parser("check-queries", help="errors of queries and of their evidence")
     g.add_argument("queries")
     g.add_argument("facts")
+    g = c.add_parser("gate", help="do chunks hold the facts' quotes?")
+    g.add_argument("ledger")
+    g.add_argument("facts")
+    g = c.add_parser("evaluate", help="run queries; metrics by retrieval level")
+    g.add_argument("ledger")
+    g.add_argument("queries")
+    g.add_argument("--top-k", type=int, default=10)
+    g.add_argument("--out", help="write a summary and results below this path")
+    g = c.add_parser("judge", help="verdicts on answers that a program can judge")
+    g.add_argument("queries")
+    g.add_argument("answers", help="JSON lines: qid, answer")
     return p
 
 
+def stored_ids(engine: Engine, spark: SparkSession, ledger: str) -> DataFrame:
+    """(doc, document_id): the stored documents of a ledger, by file name."""
+    found = evaluation_data.first_by_filename(evaluation_data.read_ledger(spark, ledger), engine.store.read("documents"))
+    return found.where("document_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "document_id")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
@@ -68,6 +87,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             show(engine.rechunk(a.document, engine.scope(a.user), read_files(spark, a.path), a.size, a.overlap))
         elif a.command == "delete":
             engine.delete(a.document, a.user)
+        elif a.command == "gate":
+            met = evaluation_data.read_facts(spark, a.facts).join(stored_ids(engine, spark, a.ledger), "doc")
+            gated = evaluation.chunk_gate(met, engine.store.read("chunks"))
+            show(gated.where("state <> 'OK'").orderBy("fact_id"))
+            show(evaluation.gate_counts(gated))
+        elif a.command == "evaluate":
+            q = evaluation_data.read_queries(spark, a.queries)
+            evidence = evaluation_data.evidence_of(q).join(stored_ids(engine, spark, a.ledger), "doc")
+            asked = q.select(F.col("id").alias("qid"), F.col("question").alias("text"), "retrieval_level", "expected_behavior", F.lit(engine.scope(a.user)).alias("user_id"))
+            measured = evaluation.retrieval_metrics(asked.drop("text", "user_id"), evidence, engine.search_batch(asked, top_k=a.top_k)).cache()
+            summary = evaluation.summary(measured, "retrieval_level", cube=True)
+            if a.out:
+                evaluation_data.write_results(summary, measured, a.out)
+            show(summary.orderBy("retrieval_level"))
+        elif a.command == "judge":
+            q = evaluation_data.read_queries(spark, a.queries)
+            asked = q.select(F.col("id").alias("qid"), F.to_json(F.struct("question", "expected_behavior", "answer", "output_format", "forbidden_claims", "judge_rubric")).alias("question"))
+            judged = evaluation.judge_answers(asked.join(spark.read.schema("qid string, answer string").json(a.answers), "qid")).cache()
+            show(judged.orderBy("qid"))
+            show(evaluation.correctness_summary(judged.join(q.select(F.col("id").alias("qid"), "expected_behavior"), "qid")))
         else:
             q = evaluation_data.read_queries(spark, a.queries)
             errors = evaluation.check_queries(q, evaluation_data.evidence_of(q), evaluation_data.read_facts(spark, a.facts)).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -9,8 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.models import embed, hashing_embedder
-from ..functions.text import infer_title, is_blank, title_from_filename, tokens
+from ..functions.models import embed, formula_text, hashing_embedder
+from ..functions.register import register
+from ..functions.text import Segment, clean_latex, infer_title, is_blank, title_from_filename, tokens
 from ..operators import documents as dml
 from ..operators.answers import answer, contexts
 from ..operators.chunking import assemble, chunk_documents
@@ -52,17 +54,20 @@ class NotFound(LookupError):
 
 class Engine:
     """``embedder(texts)`` gives vectors, ``scorer(query, content)`` a relevance Column, ``generator(prompt,
-    citations)`` an answer Column; the defaults need no service."""
+    citations)`` an answer Column; the defaults need no service. ``formula_reader(region)`` gives the LaTeX of a formula by
+    its document_id, page and box (a struct), null where it can't read it; ``segment`` cuts words (see ``tokens``)."""
 
     def __init__(
         self, spark: SparkSession, path: str, config: Config | None = None, *,
         embedder: Callable[[list[str]], list[list[float]]] | None = None, scorer: Callable[[Column, Column], Column] = trigram_scorer, generator=None,
+        formula_reader: Callable[[Column], Column] | None = None, segment: Segment | None = None,
     ) -> None:
         ship(spark)
+        register(spark)
         self.spark, self.config = spark, config or Config()
         self.store = Store(spark, path, {"documents": dml.DOCUMENTS, "chunks": dml.CHUNKS, "verdicts": dml.VERDICTS})
         self.embed = embed(embedder or hashing_embedder(self.config.ai.embedding.dimension), self.config.ai.embedding.batch_size)
-        self.scorer, self.generator = scorer, generator
+        self.scorer, self.generator, self.formula_reader, self.segment = scorer, generator, formula_reader, segment
 
     # ------------------------------------------------------------ ingest
 
@@ -74,7 +79,7 @@ class Engine:
             files = files.withColumn(name, F.coalesce(name, F.lit(default)) if name in files.columns else F.lit(default))
         documents = self.store.read("documents")
         fresh, verdicts = dml.accept(documents, files, max_mb=self.config.server.max_upload_size_mb)
-        self.store.write(documents=documents.unionByName(fresh), verdicts=verdicts)
+        self.store.append({"verdicts": verdicts}, documents=fresh)
         return self.store.read("verdicts")
 
     def build(self, pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +87,10 @@ class Engine:
         blocks = extract_blocks(pages)
         whole = documents_of(blocks).join(documents.select(F.col("id").alias("document_id"), "chunk_size", "chunk_overlap"), "document_id")
         cut = chunk_documents(whole)
-        chunks = assemble(cut).withColumn("embedding", self.embed(F.col("content"))).withColumn("tokens", tokens(F.col("content")))
+        if self.formula_reader is not None:
+            read = clean_latex(self.formula_reader(F.struct("document_id", "page", "left", "right", "top", "bot")))
+            cut = cut.withColumn("content", F.when(F.col("kind") == "formula", formula_text(F.col("content"), read)).otherwise(F.col("content")))
+        chunks = assemble(cut).withColumn("embedding", self.embed(F.col("content"))).withColumn("tokens", tokens(F.col("content"), self.segment))
         first = page_texts(blocks).where("page = 1").select("document_id", F.col("text").alias("_first"))
         info = pages.groupBy("document_id").agg(F.max("page").alias("_pages"), F.max("title").alias("_title"), F.max("error").alias("_error"))
         counts = cut.groupBy("document_id").agg(F.count("*").cast("int").alias("_chunks"))
@@ -97,29 +105,31 @@ class Engine:
         )
         return chunks.drop("kind", "left", "right", "top", "bot"), state.withColumnRenamed("document_id", "id").select(*documents.columns)
 
-    def run(self, contents: DataFrame, n: int = 1_000_000, parser=None) -> DataFrame:
-        """Process up to ``n`` pending documents, oldest first, whose files ``contents`` (content_hash, content) holds.
+    def run(self, contents: DataFrame, n: int | None = None, parser=None) -> DataFrame:
+        """Process pending documents, all or the ``n`` oldest, whose files ``contents`` (content_hash, content) holds.
 
         Chunks replace whatever the documents had; tables change together, so a failure leaves the old state.
         """
         documents = self.store.read("documents")
         _, claimed = dml.claim(documents, n)
         files = claimed.join(contents.select("content_hash", "content").dropDuplicates(["content_hash"]), "content_hash").select(F.col("id").alias("document_id"), "content")
-        return self._replace(documents, claimed, parse_files(files, **({"parser": parser} if parser else {})))
+        return self._replace(claimed, parse_files(files, **({"parser": parser} if parser else {})))
 
     def ingest_pages(self, documents_in: DataFrame, pages: DataFrame) -> DataFrame:
         """Store ``documents_in`` (as the documents table) with ``pages`` of glyphs."""
-        documents = dml.upsert(self.store.read("documents"), documents_in)
-        return self._replace(documents, documents.join(documents_in.select("id"), "id", "left_semi"), pages)
+        ids = documents_in.select("id")
+        self.store.change(ids, documents=lambda held: dml.upsert(held, documents_in))
+        return self._replace(self.store.read("documents").join(ids, "id", "left_semi"), pages)
 
-    def _replace(self, documents: DataFrame, claimed: DataFrame, pages: DataFrame) -> DataFrame:
+    def _replace(self, claimed: DataFrame, pages: DataFrame) -> DataFrame:
         for column in ("title", "error"):
             if column not in pages.columns:
                 pages = pages.withColumn(column, F.lit(None).cast("string"))
         chunks, state = self.build(pages, claimed)
-        kept = dml.delete_chunks(self.store.read("chunks"), claimed.select("id"))
-        self.store.write(documents=dml.upsert(documents, state), chunks=kept.unionByName(chunks.select(*kept.columns)))
-        return self.store.read("documents").join(claimed.select("id"), "id", "left_semi")
+        ids = claimed.select("id")
+        columns = self.store.schemas["chunks"].names
+        self.store.change(ids, documents=lambda held: dml.upsert(held, state), chunks=lambda held: dml.delete_chunks(held, ids).unionByName(chunks.select(*columns)))
+        return self.store.read("documents").join(ids, "id", "left_semi")
 
     def ingest_files(self, path: str, user: str) -> DataFrame:
         """Accept and process the files at ``path``; verdicts."""
@@ -135,10 +145,9 @@ class Engine:
         if row is None or row["status"] == "failed":
             raise NotFound(document_id)
         s, o = dml.resolve_chunking((self.config.rag.chunk_size, self.config.rag.chunk_overlap), (size, overlap), (row["chunk_size"] or None, row["chunk_overlap"]))
-        changed = documents.withColumn("chunk_size", F.when(F.col("id") == document_id, F.lit(s)).otherwise(F.col("chunk_size"))).withColumn("chunk_overlap", F.when(F.col("id") == document_id, F.lit(o)).otherwise(F.col("chunk_overlap")))
-        one = changed.where(F.col("id") == document_id)
+        one = documents.where(F.col("id") == document_id).withColumns({"chunk_size": F.lit(s), "chunk_overlap": F.lit(o)})
         files = one.join(contents.select("content_hash", "content"), "content_hash").select(F.col("id").alias("document_id"), "content")
-        return self._replace(changed, one, parse_files(files))
+        return self._replace(one, parse_files(files))
 
     # ------------------------------------------------------------ documents
 
@@ -157,16 +166,16 @@ class Engine:
 
     def delete(self, document_id: str, user: str) -> None:
         ids = self.spark.createDataFrame([(document_id,)], "id string")
-        documents, chunks, gone = dml.delete(self.store.read("documents"), self.store.read("chunks"), ids, self.scope(user))
-        if gone.isEmpty():
+        if dml.get(self.store.read("documents"), document_id, self.scope(user)).isEmpty():
             raise NotFound(document_id)
-        self.store.write(documents=documents, chunks=chunks)
+        self.store.change(ids, documents=lambda held: held.join(ids, "id", "left_anti"), chunks=lambda held: dml.delete_chunks(held, ids))
 
     def recover(self) -> int:
         """Documents left in processing are pending again; how many."""
-        documents, count = dml.reset_processing(self.store.read("documents"))
-        n = count.first()["n"]
-        self.store.write(documents=documents)
+        left = self.store.read("documents").where("status = 'processing'").select("id")
+        n = left.count()
+        if n:
+            self.store.change(left, documents=lambda held: dml.reset_processing(held)[0])
         return n
 
     # ------------------------------------------------------------ search
@@ -178,22 +187,26 @@ class Engine:
         known = bool(self.config.ai.rerank.model)
         return self.config.ai.rerank.enabled and known if wish is None else wish and known
 
-    def search_batch(self, queries: DataFrame, *, top_k: int = 0, hybrid: bool | None = None, rerank_: bool | None = None) -> DataFrame:
-        """Hits of ``queries`` (qid, text; user_id, document_ids, embedding if there). All run in one plan."""
+    def search_batch(self, queries: DataFrame, *, top_k: int = 0, hybrid: bool | None = None, rerank_: bool | None = None, paths: Callable[[str, Exception], None] | None = None) -> DataFrame:
+        """Hits of ``queries`` (qid, text; user_id, document_ids, embedding if there). All run in one plan; with ``paths``,
+        as for single questions, a text path that fails is reported there and left out."""
         rag, settings = self.config.rag, self.config.ai.rerank
         k = top_k if top_k > 0 else rag.top_k
         again = self.wants_rerank(rerank_)
         pool = max(k, settings.candidate_pool) if again else k
         if "embedding" not in queries.columns:
             queries = queries.withColumn("embedding", self.embed(F.col("text")))
-        hits = hybrid_search(self.chunks(), queries, pool, threshold=rag.similarity_threshold, hybrid=hybrid is not False, fusion=rag.fusion, coarse_limit=rag.coarse_limit)
+        hits = hybrid_search(self.chunks(), queries, pool, threshold=rag.similarity_threshold, hybrid=hybrid is not False, fusion=rag.fusion, coarse_limit=rag.coarse_limit, paths=paths, segment=self.segment)
         return rerank(hits, queries, k, scorer=self.scorer, top_n=settings.top_n) if again else hits
 
     def _batch(self, q: Question, user: str) -> DataFrame:
         return self.spark.createDataFrame([("q", q.query, self.scope(user), q.document_ids or None)], "qid string, text string, user_id string, document_ids array<string>")
 
+    def _left_out(self, path: str, error: Exception) -> None:
+        logging.getLogger(__name__).warning("the %s path is left out: %s: %s", path, type(error).__name__, error)
+
     def search(self, q: Question, user: str) -> DataFrame:
-        return self.search_batch(self._batch(q, user), top_k=q.top_k, hybrid=q.hybrid, rerank_=q.rerank).drop("qid").orderBy("rank")
+        return self.search_batch(self._batch(q, user), top_k=q.top_k, hybrid=q.hybrid, rerank_=q.rerank, paths=self._left_out).drop("qid").orderBy("rank")
 
     def search_events(self, q: Question, user: str) -> Iterator[tuple[str, object]]:
         """("progress", Progress) as each stage starts and is done, then ("result", rows) or ("error", message)."""
@@ -207,7 +220,7 @@ class Engine:
                 elif stage == "retrieve":
                     k = q.top_k if q.top_k > 0 else self.config.rag.top_k
                     pool = max(k, self.config.ai.rerank.candidate_pool) if self.wants_rerank(q.rerank) else k
-                    found = self.search_batch(batch, top_k=pool, hybrid=q.hybrid, rerank_=False)
+                    found = self.search_batch(batch, top_k=pool, hybrid=q.hybrid, rerank_=False, paths=self._left_out)
                     rows, schema = found.collect(), found.schema
                     hits = len(rows)
                 else:
@@ -222,7 +235,7 @@ class Engine:
         if user not in self.config.server.admin_users:
             raise NotAllowed(user)
         batch = self._batch(q, user)
-        hits = self.search_batch(batch, top_k=q.top_k, hybrid=q.hybrid, rerank_=q.rerank)
+        hits = self.search_batch(batch, top_k=q.top_k, hybrid=q.hybrid, rerank_=q.rerank, paths=self._left_out)
         extra = {"generator": self.generator} if self.generator else {}
         return answer(batch, hits, no_context=self.config.rag.no_context_reply, **extra)
 

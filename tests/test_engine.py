@@ -167,3 +167,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "--user", "root", "ask", "Steel"], spark) == 0
     assert main([*base, "--user", "u", "delete", "nope"], spark) == 2
     assert main([*base, "--user", "u", "list"], spark) == 0
+
+
+def test_evaluation_from_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "steel.pdf").write_bytes(pdf(text(72, 700, "Steel tubes carry 25 kN of load.")))
+    out = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    run = lambda *a: main(["--store", str(tmp_path / "store"), "--user", "u", *a], spark)
+    assert run("ingest", str(tmp_path / "in")) == 0
+    ledger = {"docs": [{"doc_id": "D1", "filename": "steel.pdf", "title": "t", "pages": 1}, {"doc_id": "D2", "filename": "none.pdf"}]}
+    facts = {"F1": {"doc": "D1", "page": 1, "quote": "tubes carry"}, "F2": {"doc": "D1", "page": 1, "quote": "no such words"}}
+    evidence = [{"fact_id": "F1", "doc": "D1", "page": 1, "quote": "tubes carry", "role": "essential"}]
+    queries = {"queries": [{"id": "q1", "retrieval_level": "R1", "question": "steel load", "expected_behavior": "answer", "evidence": evidence, "answer": {"type": "numeric", "value": 25, "unit": "kN", "tolerance": {"mode": "absolute", "value": 0.5}}}]}
+    for name, data in (("ledger", ledger), ("facts", facts), ("queries", queries)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+    (tmp_path / "answers.json").write_text('{"qid": "q1", "answer": "about 25.2 kN"}\n')
+    out()
+    assert run("gate", str(tmp_path / "ledger.json"), str(tmp_path / "facts.json")) == 0
+    assert {(r.get("fact_id"), r["state"]) for r in out()} == {("F2", "MISSING"), (None, "OK"), (None, "MISSING")}
+    assert run("evaluate", str(tmp_path / "ledger.json"), str(tmp_path / "queries.json"), "--out", str(tmp_path / "out")) == 0
+    assert {r["page_recall"] for r in out()} == {1.0} and (tmp_path / "out" / "summary").is_dir()
+    assert run("judge", str(tmp_path / "queries.json"), str(tmp_path / "answers.json")) == 0
+    assert [r.get("verdict", r.get("answer_accuracy")) for r in out()] == ["correct", 1.0]
+
+
+def test_formulas_are_read_and_a_failing_path_left_out(spark, tmp_path):
+    def reader(region):
+        return F.when(region["page"] == 1, F.concat(F.lit("$$x_"), region["page"].cast("string"), F.lit("$$")))
+
+    made = Engine(spark, str(tmp_path / "s"), formula_reader=reader)
+    glyph = lambda font, x, y, s: {"font": font, "font_size": 10.0, "x": x, "y": y, "w": 5.0 * len(s), "s": s}
+    rows = [("d", p, [glyph("F1", 60.0, 720.0, "Some text here"), glyph("Cambria Math", 200.0, 650.0, f"x={p}")], []) for p in (1, 2)]
+    pages = spark.createDataFrame(rows, "document_id string, page int, glyphs array<struct<font: string, font_size: double, x: double, y: double, w: double, s: string>>, rects array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    from quern.operators.documents import DOCUMENTS
+
+    full = spark.createDataFrame([("d", "u", "d.pdf", "pending")], "id string, user_id string, filename string, status string")
+    docs = full.select(*(F.col(f.name).cast(f.dataType) if f.name in full.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in DOCUMENTS))
+    made.ingest_pages(docs, pages)
+    assert sorted(r.content for r in made.store.read("chunks").collect()) == ["Some text here", "Some text here", "x=2", "x_1"]
+    assert spark.sql("SELECT ts_rank_simple(array('A', 'b'), array('a'))").first()[0] > 0

@@ -599,6 +599,26 @@ def page_layout(spark, sf):
     return page_texts(extract_blocks(glyph_pages(spark, sf)))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w, unnest(range(len(string_split(coalesce(text, ''), ' ')))) AS i FROM documents)
+SELECT doc_id AS document_id, (i // 240 + 1)::INTEGER AS page, regexp_replace(string_agg(w, '' ORDER BY i), '\\s+', '', 'g') AS letters FROM w GROUP BY ALL""")
+def page_columns(spark, sf):
+    """Each document's words set in two columns of up to 40 lines a page: read down the left one, then the right one."""
+    from ..operators.pages import extract_blocks, page_texts
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.split(F.coalesce("text", F.lit("")), " ").alias("ws"))
+    d = d.withColumn("page", F.explode(F.sequence(F.lit(1), F.ceil(F.size("ws") / 240).cast("int"))))
+    d = d.select("document_id", "page", F.slice("ws", (F.col("page") - 1) * 240 + 1, F.lit(240)).alias("ws"))
+    left = F.when(F.size("ws") < 120, F.lit(120)).otherwise(F.ceil(F.size("ws") / 6) * 3)  # a short page has one column
+
+    def glyph(w, i):
+        k = F.when(i < left, i).otherwise(i - left)
+        x = F.when(i < left, F.lit(50.0)).otherwise(F.lit(350.0)) + k % 3 * 80
+        return F.struct(F.lit("F1").alias("font"), F.lit(10.0).alias("font_size"), x.alias("x"), (700.0 - F.floor(k / 3) * 14).cast("double").alias("y"), F.lit(76.0).alias("w"), F.regexp_replace(w, "\n", " ").alias("s"))
+
+    pages = d.select("document_id", "page", F.transform("ws", glyph).alias("glyphs"), F.array().cast(_RECTS).alias("rects"))
+    return page_texts(extract_blocks(pages, drop_bad_fonts=False)).select("document_id", "page", F.regexp_replace("text", r"\s+", "").alias("letters"))
+
+
 _RECTS = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 

@@ -44,6 +44,8 @@ def test_queue(spark):
     t = docs(spark, ("1", "a", "h", "pending", 5), ("2", "a", "h", "pending", 3), ("3", "a", "h", "processing", 1))
     after, taken = d.claim(t, 1, now=F.timestamp_seconds(F.lit(NOW)))
     assert [r.id for r in taken.collect()] == ["2"] and {r.id: r.status for r in after.collect()}["2"] == "processing"
+    every, all_taken = d.claim(t, None, now=F.timestamp_seconds(F.lit(NOW)))
+    assert {r.id for r in all_taken.collect()} == {"1", "2"} and {r.status for r in every.collect()} == {"processing"} and all_taken.columns == t.columns
     again, n = d.reset_processing(after)
     assert n.first().n == 2 and {r.status for r in again.collect()} == {"pending"}
     failed = {r.id: (r.status, r.error) for r in d.fail(t, spark.createDataFrame([("1", "boom")], "id string, message string")).collect()}

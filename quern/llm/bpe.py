@@ -20,7 +20,7 @@ from .common import prepare
 from .tokens import text_chunks
 
 #: Pieces and pairs of tokens that a worker keeps; beyond it forgets all of them.
-KEPT = 400_000
+KEPT, KEPT_BYTES = 400_000, 64 << 20
 _open: dict[tuple[str, str], Encoder] = {}
 
 
@@ -169,6 +169,7 @@ class Encoder:
             self.merges = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
         self.split = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
+        self.held = 0
         self.table = [self.merges.bytes.get(i, b"") for i in range(max(self.merges.bytes) + 1)]
 
     def piece(self, data: bytes) -> list[int]:
@@ -178,11 +179,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, all ids as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEPT:
+        if len(self.kept) > KEPT or self.held > KEPT_BYTES:
             self.kept.clear()
+            self.held = 0
         parts = [self.split(t) for t in texts]
         for p in set().union(*parts).difference(self.kept):
-            self.kept[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
+            ids = self.kept[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
+            self.held += 4 * len(p) + len(ids)
         return [b"".join(map(self.kept.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
@@ -219,7 +222,8 @@ def bpe_round_trip(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "
     """One row for each row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids (array<int>).
 
     Each match of ``pattern`` in the whole text is encoded alone by the ranks in the file ``ranks``; null texts are
-    empty and have no ids. Repeated rows fare alike; ids may be null; other columns are ignored.
+    empty and have no ids. Repeated rows fare alike; ids may be null; other columns are ignored. Ranks that lack a byte
+    raise ValueError for a text that holds it.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

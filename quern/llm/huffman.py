@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, forget, prepare
 from .tokens import opened, text_chunks
@@ -193,17 +194,20 @@ def _encode(lengths: np.ndarray):
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of each whole text, then ``end_id``, to a store at ``path``, documents in ascending order of id.
 
-    Null ids come first; rows of one id follow each other in order of their texts; null and empty texts are the end
-    id alone. An empty table gives a store without blocks. A store is written whole: texts are tokenised once, to a
-    table of plain ids that counts and codes are made from and that goes in the end.
+    Null ids come first; rows of one id follow each other in order of the first 256 characters of their texts, null texts
+    first, and then as they stand in the table, so an id or a row that fills much of it is dealt over ranges like any other.
+    Ids may be of any type that Spark orders and Arrow knows. Null and empty texts are the end id alone. An empty table
+    gives a store without blocks. A store is written whole: texts are tokenised once, to a table of plain ids that counts
+    and codes are made from and that goes in the end.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    order = ["id", "head", "number"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.substring(text_col, 1, 256).alias("head"), F.monotonically_increasing_id().alias("number"))
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow_kind = pa.string() if kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[kind]
+    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
     head = f"shard int, block int, before bigint, docs array<{kind}>, sizes array<bigint>, n bigint"
-    plain = cut(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_tokenise(tokenizer, end_id, arrow_kind), f"{head}, ids binary"), "plain-ids", "zstd")
+    plain = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text").mapInArrow(_tokenise(tokenizer, end_id, arrow_kind), f"{head}, ids binary"), "plain-ids", "zstd")
     counted = plain.select("n", "ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     used, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(used.max(initial=-1)) + 1, np.int64)

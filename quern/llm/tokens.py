@@ -19,7 +19,7 @@ import pyarrow as pa
 from .common import ranges, span_hashes, word_spans
 
 #: Spellings that a worker keeps; beyond it forgets all, so its memory is bounded.
-KEPT = 500_000
+KEPT, KEPT_IDS = 500_000, 8_000_000
 #: Stands between pieces that are encoded together; a piece that holds it is encoded alone.
 MARK = "\x01"
 _open: dict[str, WordTokens] = {}
@@ -168,7 +168,7 @@ class WordTokens:
         if not self.by_word:
             encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter((i for x in encoded for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in encoded], dtype=np.int64)])
-        if self.numbers.count > KEPT:
+        if self.numbers.count > KEPT or int(self.at[-1]) > KEPT_IDS:
             self.forget()
         raw = [self._lowered(t).encode() for t in texts]
         joint = b"".join(raw)

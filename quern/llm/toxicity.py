@@ -6,7 +6,7 @@ class, shorter ones by how many different bytes stand before them there, each or
 discount. From SHARED bytes down both back off to one model, the continuation counts of all documents, so a spelling
 that neither class has seen speaks for neither. The log-likelihood ratio of a byte is thus that of the longest gram seen,
 plus those of the back-off weights of all longer contexts. The fewer orders are the classes' own, the better held-out
-documents are told (of a table of 10,000: 0.89 of the toxic ones with one, 0.78 with two, 0.55 with four): what some
+documents are told (of a table of 10,000: 0.89 of the toxic ones with one, 0.78 with two, 0.62 with four): what some
 thousand texts say of short grams is mostly chance.
 
 A document is compared by length-normalised log-likelihoods: the ratio per word over the whole text, over its best windows

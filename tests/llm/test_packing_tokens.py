@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import packing
 from quern.llm.huffman import Codec, canonical_codes, code_lengths, read_ids, write_ids
@@ -171,3 +172,26 @@ def test_token_files(spark, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) for r in sorted(rows, key=lambda r: r.start)] == want
     write_ids(empty(spark), str(tmp_path / "none"), tokenizer=word_file())
     assert read_ids(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)", "double", "date", "smallint", "int"])
+def test_token_files_of_any_ids(spark, tmp_path, kind):
+    ids = [None, 3, 1, 2, 3]
+    df = spark.createDataFrame([(None if i is None else f"2020-01-0{i}" if kind == "date" else str(i), prose(n, 9)) for n, i in enumerate(ids)], "i string, text string")
+    write_ids(df.select(df.i.cast(kind).alias("own"), "text"), str(tmp_path / "ids"), tokenizer=word_file(), id_col="own")
+    rows = sorted(read_ids(spark, str(tmp_path / "ids"), id_col="own").collect(), key=lambda r: r.start)
+    assert [None if r.own is None else int(str(r.own)[-1] if kind == "date" else float(r.own)) for r in rows] == [None, 1, 2, 3, 3]
+
+
+def test_a_hot_id_is_dealt_over_ranges(spark, tmp_path):
+    df = spark.createDataFrame([(7, prose(1, 40))] * 300 + [(i, prose(i, 40)) for i in range(20)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_ids(df.repartition(4), str(tmp_path / "ids"), tokenizer=word_file())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and len(rows) == 320
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+    held = spark.read.parquet(str(tmp_path / "ids" / "blocks")).select("shard", F.size("docs").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
+    assert held.agg(F.max("n")).first()[0] < 200

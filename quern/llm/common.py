@@ -32,11 +32,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Set here only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset one is made in local mode, as in
+    tests; on a cluster a folder of this machine would be of no use, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     return folder

@@ -195,12 +195,28 @@ def any_term(content: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.ilike(content, F.concat(F.lit("%"), t, F.lit("%"))))
 
 
-def _pattern(term: str) -> re.Pattern | None:
-    """What a term with wildcards matches, in lower case; None for one without."""
+def _pattern(term: str) -> list[re.Pattern] | None:
+    """What a term with wildcards matches, in lower case, as the parts between its ``%``; None for one without wildcards."""
     if not re.search(r"[%_\\]", term):
         return None
-    parts = re.findall(r"\\(?s:.)|(?s:.)", term)
-    return re.compile("".join({"%": ".*", "_": "."}.get(x, re.escape(x[-1])) for x in parts), re.S)
+    parts: list[list[str]] = [[]]
+    for x in re.findall(r"\\(?s:.)|(?s:.)", term):
+        if x == "%":
+            parts.append([])
+        else:
+            parts[-1].append("." if x == "_" else re.escape(x[-1]))
+    return [re.compile("".join(p), re.S) for p in parts if p]
+
+
+def _holds(text: str, parts: list[re.Pattern]) -> bool:
+    """Do the parts stand in the text one after another? Each has one length, so the first place of each is the best."""
+    at = 0
+    for part in parts:
+        found = part.search(text, at)
+        if found is None:
+            return False
+        at = found.end()
+    return True
 
 
 class Terms:
@@ -222,7 +238,7 @@ class Terms:
 
     def found(self, text: str) -> set[str]:
         hit = {t for _, t in self.machine.iter(text)} if self.machine is not None else {t for t in self.plain if t in text}
-        return hit | {t for t, p in self.patterns.items() if p.search(text)}
+        return hit | {t for t, p in self.patterns.items() if _holds(text, p)}
 
 
 def _grams(text: str) -> set[str]:

@@ -194,7 +194,7 @@ def _encode(lengths: np.ndarray):
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of each whole text, then ``end_id``, to a store at ``path``, documents in ascending order of id.
 
-    Null ids come first; rows of one id follow each other in order of the first 256 characters of their texts, null texts
+    Null ids come first; rows of one id follow each other in order of the first 32 characters of their texts, null texts
     first, and then as they stand in the table, so an id or a row that fills much of it is dealt over ranges like any other.
     Ids may be of any type that Spark orders and Arrow knows. Null and empty texts are the end id alone. An empty table
     gives a store without blocks. A store is written whole: texts are tokenised once, to a table of plain ids that counts
@@ -203,7 +203,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1, id
     spark = docs.sparkSession
     prepare(spark)
     order = ["id", "head", "number"]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.substring(text_col, 1, 256).alias("head"), F.monotonically_increasing_id().alias("number"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.substring(text_col, 1, 32).alias("head"), F.monotonically_increasing_id().alias("number"))
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
     head = f"shard int, block int, before bigint, docs array<{kind}>, sizes array<bigint>, n bigint"

@@ -16,18 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import bound_batches, ship
 
-#: Rows and bytes of an Arrow batch that goes to Python: bounds a worker's memory whatever the length of texts.
-BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Bytes of text that the kernels take at a time, unless one document is longer.
 CHUNK = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and make this package importable on executors, once for each context."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark)
     ship(spark)
 
 

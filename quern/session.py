@@ -11,6 +11,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows and bytes of an Arrow batch that goes to Python: bounds a worker's memory whatever the length of rows.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; without it 10,000 rows go to Python at once, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _archive() -> bytes:
     top = os.path.dirname(os.path.abspath(__file__))
     held = io.BytesIO()

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,24 @@ BLOCKS = "array<struct<kind: string, content: string, left: double, right: doubl
 
 def bad_fonts(pages: DataFrame, *, share: float = 0.5) -> DataFrame:
     """(document_id, font): fonts of a document that can't be read: one of their glyphs holds a NUL, or more than
-    ``share`` of them a NUL or a replacement character. Counted before they are shuffled."""
-    glyphs = pages.select("document_id", F.explode("glyphs").alias("g")).select("document_id", "g.font", "g.s")
-    nul, lost = F.contains("s", F.lit("\x00")), F.contains("s", F.lit("�"))
-    counted = glyphs.groupBy("document_id", "font").agg(F.bool_or(nul).alias("nul"), F.avg((nul | lost).cast("double")).alias("lost"))
+    ``share`` of them a NUL or a replacement character. Counted page by page before they are shuffled; of ``glyphs`` only
+    font and s are needed."""
+    bound_batches(pages.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            glyphs = pc.list_flatten(batch.column("glyphs"))
+            fields = dict(zip([f.name for f in glyphs.type], glyphs.flatten(), strict=True))
+            nul, lost = (pc.match_substring(fields["s"], mark) for mark in ("\x00", "�"))
+            each = pa.table({"row": pc.list_parent_indices(batch.column("glyphs")), "font": fields["font"], "nul": nul, "lost": pc.or_(nul, lost)})
+            each = each.group_by(["row", "font"]).aggregate([("nul", "any"), ("lost", "sum"), ("lost", "count")]).combine_chunks()
+            columns = [each[c].cast(kind) for c, kind in (("font", pa.string()), ("nul_any", pa.bool_()), ("lost_sum", pa.int64()), ("lost_count", pa.int64()))]
+            found = pa.table([batch.column("document_id").take(each["row"].combine_chunks()), *columns], ["document_id", "font", "nul", "lost", "n"])
+            yield from found.to_batches()
+
+    kind = pages.schema["document_id"].dataType.simpleString()
+    counted = pages.select("document_id", "glyphs").mapInArrow(count, f"document_id {kind}, font string, nul boolean, lost bigint, n bigint")
+    counted = counted.groupBy("document_id", "font").agg(F.bool_or("nul").alias("nul"), F.try_divide(F.sum("lost").cast("double"), F.sum("n")).alias("lost"))
     return counted.where(F.col("nul") | (F.col("lost") > share)).select("document_id", "font")
 
 

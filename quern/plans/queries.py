@@ -572,22 +572,26 @@ def reply_features(spark, sf):
 PAGE_LINES, LINE_WORDS = 48, 5
 
 
-def glyph_pages(spark: SparkSession, sf: str) -> DataFrame:
+def glyph_pages(spark: SparkSession, sf: str, *, placed: bool = True) -> DataFrame:
     """Each document's words as glyphs of two fonts, some of which can't be read, on as many pages as they fill."""
-    return as_glyphs(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return as_glyphs(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"), placed=placed)
 
 
-def as_glyphs(d: DataFrame) -> DataFrame:
-    """The pages of ``glyph_pages`` of documents (document_id, text, and what else is to stay)."""
+def as_glyphs(d: DataFrame, *, placed: bool = True) -> DataFrame:
+    """The pages of ``glyph_pages`` of documents (document_id, text, and what else is to stay); without places, glyphs
+    have what ``bad_fonts`` reads."""
     kept = [c for c in d.columns if c != "text"]
     d = d.select(*kept, F.split("text", " ").alias("ws"))
     each = PAGE_LINES * LINE_WORDS  # a multiple of 3, so fonts run on from page to page
     d = d.withColumn("page", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("ws") / each).cast("int")))))
     d = d.select(*kept, "page", F.slice("ws", (F.col("page") - 1) * each + 1, F.lit(each)).alias("ws"))
-    glyph = lambda w, i: F.struct(
-        F.when(i % 3 == 0, F.lit("F0")).otherwise(F.lit("F1")).alias("font"), F.lit(10.0).alias("font_size"), (F.lit(60.0) + (i % 5) * 80).alias("x"), (F.lit(700.0) - F.floor(i / 5) * 14).cast("double").alias("y"),
-        (F.length(w) * 5.0).alias("w"), F.when((F.col("document_id") % 4 == 0) & (i % 3 == 0), F.lit("�")).otherwise(F.replace(w, F.lit("\n"), F.lit(" "))).alias("s"),
-    )
+
+    def glyph(w, i):
+        font, s = F.when(i % 3 == 0, F.lit("F0")).otherwise(F.lit("F1")).alias("font"), F.when((i % 3 == 0) & (F.col("document_id") % 4 == 0), F.lit("�")).otherwise(F.replace(w, F.lit("\n"), F.lit(" "))).alias("s")
+        if not placed:
+            return F.struct(font, s)
+        return F.struct(font, F.lit(10.0).alias("font_size"), (F.lit(60.0) + (i % 5) * 80).alias("x"), (F.lit(700.0) - F.floor(i / 5) * 14).cast("double").alias("y"), (F.length(w) * 5.0).alias("w"), s)
+
     return d.select(*kept, "page", F.transform("ws", glyph).alias("glyphs"), F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>").alias("rects"))
 
 
@@ -595,7 +599,7 @@ def as_glyphs(d: DataFrame) -> DataFrame:
 def bad_fonts(spark, sf):
     from ..operators.pages import bad_fonts as find
 
-    return find(glyph_pages(spark, sf))
+    return find(glyph_pages(spark, sf, placed=False))
 
 
 @query()
@@ -603,7 +607,7 @@ def page_layout(spark, sf):
     from ..operators.pages import bad_fonts, extract_blocks, page_texts
 
     # documents meet their bad fonts as texts, before they are glyphs, which are many times as large
-    bad = bad_fonts(glyph_pages(spark, sf)).groupBy("document_id").agg(F.collect_set("font").alias("bad"))
+    bad = bad_fonts(glyph_pages(spark, sf, placed=False)).groupBy("document_id").agg(F.collect_set("font").alias("bad"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text").join(bad, "document_id", "left")
     return page_texts(extract_blocks(as_glyphs(d)))
 

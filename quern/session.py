@@ -35,7 +35,8 @@ def _archive() -> bytes:
 
 def ship(spark: SparkSession) -> None:
     """Send the package to all executors, once for each context: through the folder in spark.checkpoint.dir, which
-    all machines share; where that is unset, as in tests, from a temporary file."""
+    all machines share; where that is unset, as in tests, from a temporary file. Batches are bounded each time."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
         return

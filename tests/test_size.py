@@ -80,3 +80,45 @@ def test_a_page_of_many_lines_takes_no_calls_on_tiny_arrays():
     finally:
         sys.setprofile(None)
     assert len(blocks) == 1 and calls[0] < 240
+
+
+def vectors_of(n, ids=0):
+    import numpy as np
+    import pandas as pd
+
+    m = np.random.default_rng(n).integers(-3, 4, (n, 8)).astype(float)  # many ties
+    return pd.DataFrame({"document_id": np.arange(n) + ids, "page": 1, "idx": 0, "qid": np.arange(n), "user_id": [f"u{i % 3}" for i in range(n)], "document_ids": [[str(i), "7", "9"] if i % 5 == 0 else None for i in range(n)], "embedding": list(m + 0.5)})
+
+
+def test_scores_are_held_a_piece_at_a_time():
+    import tracemalloc
+
+    from quern.operators.retrieval import _best
+
+    queries, chunks = vectors_of(1500), vectors_of(6000)
+    best = _best(queries, 3)
+    tracemalloc.start()
+    best(chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # all scores at once are 72 MB, and are copied several times
+
+
+def test_pieces_of_scores_give_the_same(monkeypatch):
+    from quern.operators import retrieval
+
+    def pairs():
+        found = retrieval._best(vectors_of(60), 2)(vectors_of(200))
+        first = found.sort_values(["score", "document_id"], ascending=[False, True]).groupby("qid").head(2)
+        return sorted(zip(first["qid"], first["document_id"], first["score"], strict=True))
+
+    whole = pairs()
+    monkeypatch.setattr(retrieval, "SCORES", 300)
+    monkeypatch.setattr(retrieval, "GATHER_ROWS", 70)
+    assert pairs() == whole and all(d in (q, 7, 9) for q, d, _ in whole if q % 5 == 0)
+
+
+@pytest.mark.parametrize("name", ["threshold_search", "vector_fill", "vector_topk_batch", "hybrid_gate", "chunk_recall", "gate_states", "chunk_documents_by_size"])
+def test_rows_go_to_python_in_bounded_batches(plain_session, name):
+    QUERIES[name](plain_session, SF)
+    assert largest_batch(plain_session) < 16 << 20

@@ -261,9 +261,10 @@ a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY scor
 
 
 def _hybrid(spark, sf, **how):
-    c = chunks(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id", "left")
+    c = chunks(spark, sf)
+    vectors = chunks(spark, sf, True).select(*retrieval.KEY, "user_id", "embedding")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("qid"), "embedding")
-    return retrieval.hybrid_search(c, asked(spark).join(v, "qid"), 10, **how)
+    return retrieval.hybrid_search(c, asked(spark).join(v, "qid"), 10, vectors=vectors, **how)
 
 
 @query(_NESTED + " SELECT qid, doc_id AS document_id, score, rank FROM merged WHERE rank <= 10")

@@ -122,3 +122,44 @@ def test_pieces_of_scores_give_the_same(monkeypatch):
 def test_rows_go_to_python_in_bounded_batches(plain_session, name):
     QUERIES[name](plain_session, SF)
     assert largest_batch(plain_session) < 16 << 20
+
+
+def test_no_text_is_shuffled_for_a_hybrid_search(spark, capsys):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["hybrid_search"](spark, SF).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert moved and not any("content" in part or "text#" in part for part in moved)
+
+
+def test_rank_in_python_is_the_columns(spark):
+    import random
+
+    import numpy as np
+
+    from quern.functions.similarity import ts_rank
+    from quern.operators.retrieval import _rank_of
+
+    draw = random.Random(3)
+    rows = [{t: sorted(draw.sample(range(m), min(m, n))) for t, n in zip("abc"[:terms], (3, 40, 400), strict=False)} for terms in (1, 2, 3) for m in (5, 300, 20_000)]
+    df = spark.createDataFrame([(i, [(t, p) for t, ps in r.items() for p in ps]) for i, r in enumerate(rows)], "i int, hits array<struct<t: string, p: int>>")
+    got = {r.i: r.s for r in df.select("i", ts_rank(F.col("hits")).alias("s")).collect()}
+    assert [_rank_of([np.array(ps) for ps in r.values()]) for r in rows] == pytest.approx([got[i] for i in range(len(rows))], abs=1e-9)
+
+
+def test_full_text_looks_no_pair_of_places_up_in_rows(spark, capsys):
+    from quern.operators import retrieval
+
+    rows = [(1, "d", 1, 0, "u", "alpha beta alpha"), (2, "e", 1, 0, "v", "alpha beta"), (3, "f", 1, 0, "u", "alpha"), (4, "g", 1, 0, "u", None)]
+    chunks = spark.createDataFrame(rows, "id int, document_id string, page int, idx int, user_id string, content string")
+    asked = spark.createDataFrame([(1, "Alpha beta", None), (2, "beta alpha", "u"), (3, "alpha", ""), (4, "!", None)], "qid int, text string, user_id string")
+    found = retrieval.fulltext_search(chunks, asked, 5)
+    by_index = retrieval.fulltext_search(chunks, asked, 5, index=retrieval.inverted_index(chunks))
+    columns = ["qid", "document_id", "score", "rank"]
+    assert sorted(found.select(columns).collect()) == sorted(by_index.select(columns).collect()) and found.count() == 6
+    found.explain()
+    assert "collect_list" not in capsys.readouterr().out

@@ -163,3 +163,11 @@ def test_full_text_looks_no_pair_of_places_up_in_rows(spark, capsys):
     assert sorted(found.select(columns).collect()) == sorted(by_index.select(columns).collect()) and found.count() == 6
     found.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_a_gate_bounds_its_batches(plain_session):
+    from quern.operators.evaluation import chunk_gate
+
+    chunks = plain_session.createDataFrame([("d", 1, 0, "some text")], "document_id string, page int, idx int, content string")
+    facts = plain_session.createDataFrame([("f", "d", 1, "me te")], "fact_id string, document_id string, page int, quote string")
+    assert chunk_gate(facts, chunks).first().state == "OK" and largest_batch(plain_session) < 16 << 20

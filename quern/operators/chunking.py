@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, stable_id
+from ..session import bound_batches
 
 SIZE, OVERLAP = 800, 150
 #: After these a text may be cut; between these a table's cells stand.
@@ -91,6 +92,7 @@ def split_text_udf(size: int = SIZE, overlap: int = OVERLAP):
 
 def chunk_pages(pages: DataFrame, *, keys: list[str], page_col: str = "page", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of plain pages: the keys, page, pos (from 0 within the page), content."""
+    bound_batches(pages.sparkSession)
     cut = split_text_udf(size, overlap)
     return pages.select(*keys, page_col, F.posexplode(cut(F.col(text_col))).alias("pos", "content"))
 
@@ -100,6 +102,7 @@ def chunk_documents(documents: DataFrame, *, size: int = SIZE, overlap: int = OV
     bot>>>): the keys, idx (from 0 within the document), page, kind, content, box. One pass, no shuffle.
 
     Columns chunk_size and chunk_overlap, if there, hold for their document instead of ``size`` and ``overlap``."""
+    bound_batches(documents.sparkSession)
     kept = documents.select(*keys, "pages", *((F.col(c) if c in documents.columns else F.lit(v)).cast("int").alias(f"_{c}") for c, v in (("chunk_size", size), ("chunk_overlap", overlap))))
     fields = {k: documents.schema[k].dataType.simpleString() for k in keys}
 

@@ -193,3 +193,14 @@ def test_passages_meet_texts_in_blocks_of_bounded_characters(spark, monkeypatch)
     assert sorted(map(tuple, found.select("qid", "document_id").collect())) == whole == [(n, n) for n in range(0, 40, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "pmod(xxhash64(document_id" in plan and ", 4)" in plan  # by 740 characters, not by 40 rows
+
+
+def test_chunking_bounds_its_batches(plain_session):
+    from quern.operators.chunking import chunk_documents, chunk_pages
+
+    docs = plain_session.createDataFrame([(1, [[("text", "some text", 0.0, 0.0, 0.0, 0.0)]])], f"document_id long, pages array<{pages.BLOCKS}>")
+    assert chunk_documents(docs).first().content == "some text" and largest_batch(plain_session) < 16 << 20
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        plain_session.conf.unset(f"spark.sql.execution.arrow.{name}")
+    plain = plain_session.createDataFrame([(1, 1, "some text")], "document_id long, page int, text string")
+    assert chunk_pages(plain, keys=["document_id"]).first().content == "some text" and largest_batch(plain_session) < 16 << 20

@@ -4,6 +4,9 @@ For each prefix of a piece exactly one last token is valid: the one that starts
 stays apart from that prefix's own last token when the two are merged by rank. Storing it for every prefix gives the
 piece's ids by walking back, lets bytes be appended exactly, and makes an edit cost only what lies near it, since a
 prefix's token depends on the tokens of the prefixes at most one longest token before it.
+
+Many pieces are read side by side as arrays, a byte of each at a time: an automaton over all tokens says which of them
+end there, the longest first, and the seams are judged by tables, so nothing runs for a single byte in Python.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
-from .tokens import text_chunks
+from .common import CHUNK, prepare
+from .tokens import Numbers, text_chunks
 
 #: Pieces and pairs of tokens that a worker keeps; beyond it forgets all of them.
 KEPT, KEPT_BYTES = 400_000, 64 << 20
+#: Pieces that are worth reading side by side; fewer are read one by one.
+LANES = 64
 _open: dict[tuple[str, str], Encoder] = {}
 
 
@@ -95,7 +100,6 @@ class Merges:
             else:
                 return True
 
-
     def extend(self, data: bytes, begin: int, last: list[int]) -> list[int]:
         """``last`` tokens of the prefixes of fewer than ``begin`` bytes, and after them those of the longer ones."""
         get, reach, known, apart, last = self.ranks.get, self.reach.get, self._apart, self.apart, list(last)
@@ -125,6 +129,148 @@ class Merges:
         return out[::-1]
 
 
+class _Table:
+    """Numbers from 0 for pairs of numbers under 2^31; -1 where there is none."""
+
+    def __init__(self, most: int) -> None:
+        self.numbers = Numbers(most)
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # an odd factor keeps different pairs different; 0 is a free place
+        return ((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def add(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        self.numbers.add(self._keys(a, b), values)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.numbers.find(self._keys(a, b))
+
+
+class Lanes:
+    """``Merges`` for many pieces at once.
+
+    A state of the automaton (Aho and Corasick) is the longest end of what was read that begins a token. ``longest`` is
+    the longest token that ends there, ``shorter`` of a token the next one that ends with it; -1: none.
+    """
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        tokens = sorted(merges.bytes)
+        at = np.concatenate([[0], np.cumsum([len(merges.bytes[t]) for t in tokens])])
+        data = np.frombuffer(b"".join(merges.bytes[t] for t in tokens), np.uint8)
+        token, length = np.array(tokens), np.diff(at)
+        top = tokens[-1] + 1
+        self.length = np.ones(top, np.int64)
+        self.length[token] = length
+        self.next = _Table(len({b[:i] for b in merges.ranks for i in range(1, len(b) + 1)}))
+        state, depth, fail, longest, count = np.zeros(len(token), np.int64), 0, [np.zeros(1, np.int64)], [np.full(1, -1)], 1
+        self.fail, self.longest = fail[0], longest[0]
+        self.shorter = np.full(top, -1)
+        while len(on := np.flatnonzero(length > depth)):
+            byte = data[at[on] + depth].astype(np.int64)
+            keys, which = np.unique(state[on] << 8 | byte, return_inverse=True)
+            parent, byte = keys >> 8, keys & 255
+            back = self.step(self.fail[parent], byte) if depth else np.zeros(len(keys), np.int64)
+            self.next.add(parent, byte, np.arange(count, count + len(keys)))
+            state[on] = count + which
+            most = self.longest[back]
+            whole = length[on] == depth + 1
+            self.shorter[token[on[whole]]] = most[which[whole]]
+            most[which[whole]] = token[on[whole]]
+            self.fail, self.longest = np.concatenate([self.fail, back]), np.concatenate([self.longest, most])
+            count, depth = count + len(keys), depth + 1
+        #: Of each token the two that make it; -1: none, -2: not worked out yet.
+        self.left, self.right = (np.where(self.length > 1, -2, -1) for _ in range(2))
+        #: The token that two make side by side.
+        found = [(merges.ranks[b[:i]], merges.ranks[b[i:]], t) for t, b in merges.bytes.items() for i in range(1, len(b)) if b[:i] in merges.ranks and b[i:] in merges.ranks]
+        a, b, c = np.array(found, np.int64).reshape(-1, 3).T
+        self.both = _Table(len(found))
+        self.both.add(a, b, c)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte of each."""
+        out, state = self.next.find(state, byte), state.copy()
+        open_ = np.flatnonzero((out < 0) & (state > 0))
+        while len(open_):
+            state[open_] = self.fail[state[open_]]
+            out[open_] = self.next.find(state[open_], byte[open_])
+            open_ = open_[(out[open_] < 0) & (state[open_] > 0)]
+        return np.maximum(out, 0)
+
+    def _learn(self, tokens: np.ndarray) -> None:
+        """Work out the halves of these tokens, and of the halves."""
+        todo = np.unique(tokens[self.left[tokens] == -2]).tolist()
+        while todo:
+            t = todo.pop()
+            self.left[t], self.right[t] = self.merges.halves(t) or (-1, -1)
+            todo += [x for x in (int(self.left[t]), int(self.right[t])) if x >= 0 and self.left[x] == -2]
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Merges.apart`` of many pairs."""
+        out, on = np.ones(len(left), bool), np.arange(len(left))
+        before = np.full(len(left), 1 << 62)
+        while len(on):
+            made = self.both.find(left, right)
+            joins = (made >= 0) & (made < before)
+            out[on[joins]] = False
+            a, b = self.left[left] >= 0, self.left[right] >= 0
+            a &= ~b | (left > right)
+            keep = np.flatnonzero(~joins & (a | b))
+            on, left, right, a = on[keep], left[keep], right[keep], a[keep]
+            before = np.where(a, left, right + 1)
+            left, right = np.where(a, self.right[left], left), np.where(a, right, self.left[right])
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Of each piece, its ids as little-endian unsigned 32-bit integers."""
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in order], np.int64)
+        ends, falling = np.cumsum(sizes), -sizes
+        at = ends - sizes
+        data = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
+        last, state = np.zeros(len(data), np.int32), np.zeros(len(order), np.int64)
+        # pieces are in order of falling length, so those that have another byte come first
+        done = int(sizes[LANES - 1]) if len(sizes) >= LANES else 0
+        for end in range(1, done + 1):
+            n = int(np.searchsorted(falling, -end, "right"))
+            state = self.step(state[:n], data[at[:n] + end - 1])
+            lane, token = np.arange(n), self.longest[state]
+            while len(lane):
+                if (token < 0).any():
+                    raise ValueError("a byte is missing in the ranks")
+                if (self.left[token] == -2).any():
+                    self._learn(token)
+                begin = end - self.length[token]
+                good = (self.length[token] == 1) | (self.left[token] >= 0)
+                inner = np.flatnonzero(good & (begin > 0))
+                good[inner] = self.apart(last[at[lane[inner]] + begin[inner] - 1], token[inner])
+                last[at[lane[good]] + end - 1] = token[good]
+                lane, token = lane[~good], self.shorter[token[~good]]
+        for k in np.flatnonzero(sizes > done).tolist():  # the few longest
+            last[at[k] : ends[k]] = self.merges.extend(pieces[order[k]], done + 1, last[at[k] : at[k] + done].tolist())
+        ids, write, read = np.zeros(len(data), "<u4"), ends.copy(), ends.copy()
+        lane = np.flatnonzero(sizes)
+        while len(lane):
+            if len(lane) < LANES:
+                for k in lane.tolist():
+                    w, r = int(write[k]), int(read[k])
+                    while r > at[k]:
+                        w -= 1
+                        ids[w] = last[r - 1]
+                        r -= int(self.length[ids[w]])
+                    write[k] = w
+                break
+            token = last[read[lane] - 1]
+            write[lane] -= 1
+            ids[write[lane]] = token
+            read[lane] -= self.length[token]
+            lane = lane[read[lane] > at[lane]]
+        raw, out = ids.tobytes(), [b""] * len(pieces)
+        for i, a, b in zip(order, (4 * write).tolist(), (4 * ends).tolist(), strict=True):
+            out[i] = raw[a:b]
+        return out
+
+
 class Prefixes:
     """A piece of bytes with the last token of each of its prefixes."""
 
@@ -167,6 +313,7 @@ class Encoder:
 
         with open(path, "rb") as lines:
             self.merges = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+        self.lanes: Lanes | None = None
         self.split = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
         self.held = 0
@@ -177,14 +324,34 @@ class Encoder:
         whole = self.merges.ranks.get(data)
         return self.merges.encode(data) if whole is None else [whole]
 
+    def pieces(self, data: list[bytes]) -> list[bytes]:
+        """Ids of many pieces, as little-endian unsigned 32-bit integers."""
+        if len(data) < LANES:
+            return [np.array(self.piece(p), "<u4").tobytes() for p in data]
+        self.lanes = self.lanes or Lanes(self.merges)
+        get, out, held, size = self.merges.ranks.get, [b""] * len(data), [], 0
+        for i, p in enumerate(data):
+            whole = get(p)
+            if whole is None:
+                held.append(i)
+                size += len(p)
+            else:
+                out[i] = whole.to_bytes(4, "little")
+            if held and (size > CHUNK or i == len(data) - 1):  # a long text may bring very many
+                for k, ids in zip(held, self.lanes.encode([data[k] for k in held]), strict=True):
+                    out[k] = ids
+                held, size = [], 0
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, all ids as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT or self.held > KEPT_BYTES:
             self.kept.clear()
             self.held = 0
         parts = [self.split(t) for t in texts]
-        for p in set().union(*parts).difference(self.kept):
-            ids = self.kept[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
+        new = list(set().union(*parts).difference(self.kept))
+        for p, ids in zip(new, self.pieces([p.encode() for p in new]), strict=True):
+            self.kept[p] = ids
             self.held += 4 * len(p) + len(ids)
         return [b"".join(map(self.kept.__getitem__, p)) for p in parts]
 

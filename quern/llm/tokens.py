@@ -64,9 +64,10 @@ class Numbers:
             open_ = open_[~hit & (there != 0)]
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """Give new keys, all different, the next numbers."""
-        numbers = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+    def add(self, keys: np.ndarray, numbers: np.ndarray | None = None) -> None:
+        """Give new keys, all different, these numbers, or the next."""
+        if numbers is None:
+            numbers = np.arange(self.count, self.count + len(keys), dtype=np.int32)
         self.count += len(keys)
         at, left = self._place(keys), np.arange(len(keys))
         while len(left):

@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import Encoder, Prefixes, bpe_round_trip, rank_file, split_pattern
+from quern.llm.bpe import Encoder, Lanes, Merges, Prefixes, bpe_round_trip, rank_file, split_pattern
 from quern.llm.mtree import MTree, top_k
 
 from .cases import empty, odd, odd_rows
@@ -89,6 +91,38 @@ def test_pieces_of_any_bytes(encoder, data):
     assert e.piece(data) == (t._encode_single_piece(data) if data else [])
 
 
+def test_many_pieces_side_by_side(encoder):
+    e, t = encoder
+    r, tokens = random.Random(3), list(e.merges.ranks)
+    pieces = [b"".join(r.choice(tokens) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    pieces += [bytes(r.choices(b"ab \xc3\xa9", k=r.randint(1, 30))) for _ in range(500)] + [b"na" * 3000, *tokens[::500], b"x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.pieces(pieces)] == [t._encode_single_piece(p) for p in pieces]
+    with pytest.raises(ValueError):
+        Lanes(Merges({b"a": 0, b"b": 1, b"ab": 2})).encode([b"abab"] * 100 + [b"abc"])
+
+
+def test_ranks_that_no_merge_makes():
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ca": 4, b"bca": 5}  # abc is made by no merge
+    merges = Merges(ranks)
+    pieces = [bytes(x) for n in range(1, 7) for x in itertools.product(b"abc", repeat=n)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Lanes(merges).encode(pieces)] == [merges.encode(p) for p in pieces]
+
+
+def test_new_spellings_cost_no_step_for_a_byte(encoder):
+    e, _ = encoder
+    r = random.Random(4)
+    words = {"".join(r.choices("aeinorstlu", k=r.randint(6, 14))) for _ in range(20_000)}
+    e.encode([" ".join(f"{w}x" for w in sorted(words)[:500])])  # the tables are made
+    begun = time.process_time()
+    want = {w: np.array(e.piece(f" {w}".encode()), "<u4").tobytes() for w in words}
+    alone = time.process_time() - begun
+    e.merges._apart.clear()
+    begun = time.process_time()
+    e.encode(["".join(f" {w}" for w in words)])
+    assert time.process_time() - begun < 0.6 * alone
+    assert all(e.kept[f" {w}"] == ids for w, ids in want.items())
+
+
 def test_appends_and_edits(encoder):
     e, _ = encoder
     r, tokens = random.Random(5), list(e.merges.ranks)

@@ -16,7 +16,7 @@ import numpy as np
 def suffix_ranks(keys: np.ndarray) -> np.ndarray:
     """Place of each suffix in sorted order, by prefix doubling on those still tied. The last key must be unique."""
     n = len(keys)
-    active = np.argsort(keys, kind="stable")
+    active = np.argsort(keys)
     rank, base, key = np.zeros(n, np.int64), np.zeros(n, np.int64), keys[active]
     k = 0
     while len(active):
@@ -34,12 +34,16 @@ def suffix_ranks(keys: np.ndarray) -> np.ndarray:
         k = max(1, 2 * k)
         if len(active):
             key = rank[active] * n + rank[active + k // 2 if k > 1 else active + 1]
-        order = np.argsort(key[: len(active)] if len(active) else np.empty(0), kind="stable")
+        order = np.argsort(key[: len(active)] if len(active) else np.empty(0))
         active, key = active[order], key[: len(active)][order]
         base = rank[active]
     return rank
 
 
+#: The bits below each bit of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector with the number of ones before any place, in 64-bit words and a 32-bit count for each."""
 
@@ -52,7 +56,7 @@ class Bits:
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        return self.counts.take(word) + np.bitwise_count(self.words.take(word) & _BELOW.take(at & 63))
 
 
 class FMIndex:
@@ -94,83 +98,113 @@ class FMIndex:
         sizes = np.bincount(kinds, minlength=int(self.kind.max()) + 1)
         parts = {j: self.rest[bwt[kinds == j]] for j in range(1, len(sizes))}
         del held, kinds, bwt
-        #: Level d: its bits, and of each class where its places begin, how many ones are before, and how many zeros it has.
-        self.levels: list[tuple[Bits, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Level d: its bits, and what is added to a place on its way to the next level, by twice its class and its bit.
+        self.levels: list[tuple[Bits, np.ndarray]] = []
+        base, shifts = np.zeros((len(sizes), len(sizes)), np.int64), []
         for d in range(len(sizes) - 1):
-            base, before, zeros = (np.zeros(len(sizes), np.int64) for _ in range(3))
+            before, zeros = (np.zeros(len(sizes), np.int64) for _ in range(2))
             level, at, total = [], 0, 0
             for j in range(d + 1, len(sizes)):
                 ones = (parts[j] >> (j - 1 - d) & 1).astype(bool)
-                base[j], before[j], zeros[j] = at, total, len(ones) - int(ones.sum())
+                base[d, j], before[j], zeros[j] = at, total, len(ones) - int(ones.sum())
                 at, total = at + len(ones), total + int(ones.sum())
                 level.append(ones)
                 parts[j] = np.concatenate([parts[j][~ones], parts[j][ones]])
-            self.levels.append((Bits(np.concatenate(level)), base, before, zeros))
-        #: Where the run of each class begins in the last order of classes, and of each symbol in that of its class.
-        self.begin = np.zeros(len(sizes), np.int64)
-        self.begin = self._class_at(np.arange(len(sizes)), np.zeros(len(sizes), np.int64))
-        self.origin = self._descend(np.arange(symbols), np.zeros(symbols, np.int64))
+            self.levels.append((Bits(np.concatenate(level)), np.empty(0, np.int64)))
+            shifts.append((before, zeros))
+        for d, (before, zeros) in enumerate(shifts):
+            after = base[d + 1]  # of a class that has no more levels: 0
+            self.levels[d] = (self.levels[d][0], np.stack([before - base[d] + after, zeros - before + after], 1).ravel())
+        #: From the last order of classes to the first level, of each class: where its run begins, and where its places do.
+        self.enter = np.zeros(len(sizes), np.int64)
+        self.enter = base[0] - self._class_at(np.arange(len(sizes)), np.zeros((1, len(sizes)), np.int64))[0]
+        #: Classes with a falling sign: few values, which sort fast.
+        self.falling = (-self.kind).astype(np.int8)
+        #: From the last order of a symbol's class to the order of suffixes.
+        self.leave = np.zeros(symbols, np.int64)
+        self.leave = self.before - self._descend(np.arange(symbols), np.zeros((1, symbols), np.int64))[0]
+        #: The suffixes that begin with a symbol end before this one.
+        self.after = self.before + often
 
     def _class_at(self, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, bits, zeros in self.classes:
             ones = bits.rank(at)
-            at = np.where(kind >> bit & 1, zeros + ones, at - ones)
-        return at - self.begin[kind]
+            at = np.where(kind >> bit & 1, ones + zeros, at - ones)
+        return at + self.enter.take(kind)
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where, in the last order of its symbol's class, each place comes to stand."""
-        kind = self.kind[symbols]
-        at = self._class_at(kind, at)
-        rest, lanes = self.rest[symbols], np.arange(len(at))
-        for d, (bits, base, before, zeros) in enumerate(self.levels):
-            lanes = lanes[kind[lanes] > d]
-            if not len(lanes):
+        """Of each row of places before each symbol: the order of the suffixes that begin with the symbol."""
+        falling = self.falling.take(symbols)
+        order = np.argsort(falling, kind="stable")  # lanes leave from the end, after the levels of their class
+        lanes = np.searchsorted(falling[order], np.arange(0, -len(self.levels), -1)).tolist()
+        symbols = symbols[order]
+        kind, rest = self.kind.take(symbols), self.rest.take(symbols)
+        at = self._class_at(kind, at[:, order])
+        for d, ((bits, shift), n) in enumerate(zip(self.levels, lanes, strict=True)):
+            if not n:
                 break
-            j, now = kind[lanes], at[lanes]
-            ones = bits.rank(base[j] + now) - before[j]
-            at[lanes] = np.where(rest[lanes] >> (j - 1 - d) & 1, zeros[j] + ones, now - ones)
-        return at
+            now, bit = at[:, :n], rest[:n] >> (kind[:n] - (1 + d)) & 1
+            ones = bits.rank(now)
+            at[:, :n] = np.where(bit, ones, now - ones) + shift.take(2 * kind[:n] + bit)
+        out = np.empty_like(at)
+        out[:, order] = at + self.leave.take(symbols)
+        return out
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals after reading one more symbol to the left of each."""
-        both = np.concatenate([symbols, symbols])
-        at = self._descend(both, np.concatenate([lo, hi])) - self.origin[both] + self.before[both]
-        return at[: len(symbols)], at[len(symbols) :]
+        at = self._descend(symbols, np.stack([lo, hi]))
+        return at[0], at[1]
 
 
 def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray, core: np.ndarray, window: int) -> np.ndarray:
     """Flags over ``text`` of the windows that begin there and occur with a total weight of 2 or more.
 
     Sequence i is text[begin[i]:end[i]], and its windows all hold the symbol before core[i], an end within it.
-    For an end e, left(e) is where the longest repeated string that ends at e begins (the matching statistic).
-    It never falls as e grows, so left(core) bounds all; then ends are read from the last on, each skipping the
-    windows that its match has settled.
+    For an end e, left(e) is where the longest repeated string that ends at e begins (the matching statistic). It never
+    falls as e grows, so an end that was read bounds all others: of the ends from ``bottom`` to before ``top``, left is
+    ``least`` or later, and no later than it was at top. The last end is read first, then the core, and then the middle of
+    what is open, which leaves two parts, each without the windows that the match has settled.
     """
     found = np.zeros(len(text) + 1, np.int64)
-    lane = np.arange(len(begin))
-    stop, pointer = core.copy(), core.copy()
-    lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), index.size)
-    least = np.full(len(lane), -1)
+    lane = np.flatnonzero(end - begin >= window)
+    least, stop = begin[lane], end[lane]
+    bottom, top = np.maximum(core[lane], least + window), stop + 1
+    turn = np.zeros(len(lane), np.int64)  # 0: the last end is read, 1: the core, 2: any other end
+    pointer, lo, hi = _begin(index, text, stop)
     while len(lane):
-        can = pointer > begin[lane]
         new_lo, new_hi = index.extend(text[np.maximum(pointer - 1, 0)], lo, hi)
-        grows = can & (index.weight[new_hi] - index.weight[new_lo] >= 2)
+        grows = (index.weight[new_hi] - index.weight[new_lo] >= 2) & (pointer > least)
         lo, hi, pointer = np.where(grows, new_lo, lo), np.where(grows, new_hi, hi), pointer - grows
-        rest = np.flatnonzero(~grows)
+        ended = ~grows | (pointer == least)
+        rest = np.flatnonzero(ended)
         if not len(rest):
             continue
-        left, e, i = pointer[rest], stop[rest], lane[rest]
-        opening = least[rest] < 0
-        long = ~opening & (e - left >= window)
+        left, e = pointer[rest], stop[rest]
+        long = e - left >= window
         np.add.at(found, left[long], 1)
         np.add.at(found, e[long] - window + 1, -1)
-        low = np.where(opening, left, least[rest])
-        after = np.where(opening, end[i], np.minimum(e - 1, left + window - 1))
-        over = (after - window < low) | (~opening & (left <= low))
-        stop[rest], pointer[rest], least[rest] = after, after, low
-        lo[rest], hi[rest] = 0, index.size
-        keep = np.ones(len(lane), bool)
-        keep[rest[over]] = False
-        if not keep.all():
-            lane, stop, pointer, lo, hi, least = (x[keep] for x in (lane, stop, pointer, lo, hi, least))
+        i, now, under, low, high = lane[rest], turn[rest], bottom[rest], least[rest], top[rest]
+        # what is open above the end that was read, and below it; the core is under all others
+        above = now > 0
+        parts = [
+            (i[above], np.full(int(above.sum()), 2), np.maximum(e + 1, left + window)[above], high[above], left[above]),
+            (i[now != 1], np.minimum(now + 1, 2)[now != 1], under[now != 1], np.minimum(e, left + window)[now != 1], low[now != 1]),
+        ]
+        i, now, under, high, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+        open_ = under < high
+        i, now, under, high, low = (x[open_] for x in (i, now, under, high, low))
+        e = np.where(now == 1, core[i], (under + high) // 2)
+        begun, first, last = _begin(index, text, e)
+        keep = ~ended
+        lane, turn, bottom, top, least, stop, pointer, lo, hi = (
+            np.concatenate([x[keep], y]) for x, y in ((lane, i), (turn, now), (bottom, under), (top, high), (least, low), (stop, e), (pointer, begun), (lo, first), (hi, last))
+        )
     return np.cumsum(found)[: len(text)] > 0
+
+
+def _begin(index: FMIndex, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pointer, interval) after the symbol before each stop; where that stands once, the stop and nothing."""
+    symbol = text[stop - 1]
+    lo, hi = index.before[symbol], index.after[symbol]
+    more = index.weight[hi] - index.weight[lo] >= 2
+    return stop - more, np.where(more, lo, 0), np.where(more, hi, 0)

@@ -23,7 +23,9 @@ Words are equal where their 64-bit hashes are: of n different words in a shard o
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +43,35 @@ SHARD_WORDS, HOT, MERGED = 500_000, 1000, 8 << 20
 
 def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place of the gram, first and last window that it owns) of each anchor of one text, in order."""
+    return anchors_of(words, np.array([0, len(words)]), window, gram)[:4]
+
+
+def anchors_of(words: np.ndarray, texts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of many texts, one after another, and before which anchor each text begins (with the end after the
+    last). ``texts``: first word of each (with the end); places and windows are counted from the first text's first word."""
     grams = gram_hashes(words, gram)
     spread = window - gram + 1
     m = len(words) - window + 1
     if m <= 0:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, np.zeros(len(texts), np.int64)
     low = grams.copy()
     have = 1
     while have < spread:  # least of each run of ``spread`` grams, by doubling
         step = min(have, spread - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
+    # windows that begin too late in their text cross into the next
+    inside = np.zeros(m + 1, np.int64)
+    some = np.diff(texts) >= window
+    np.add.at(inside, texts[:-1][some], 1)
+    np.add.at(inside, texts[1:][some] - window + 1, -1)
+    inside = np.cumsum(inside)[:m] > 0
     # the leftmost gram that has the least hash: from the last window back, each is either its own first or the next's
     hit = np.full(m, -1)
-    own = grams[:m] == low
+    own = inside & (grams[:m] == low)
     hit[own] = np.flatnonzero(own)
-    last = np.flatnonzero(np.concatenate([low[1:] != low[:-1], [True]]))
+    last = np.flatnonzero(inside & np.concatenate([(low[1:] != low[:-1]) | ~inside[1:], [True]]))
     late = last[hit[last] < 0]
     for k in range(spread - 1, 0, -1):
         if len(late):
@@ -65,9 +79,11 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
             hit[late[same]] = late[same] + k
     reach = np.where(hit < 0, len(words), hit)
     at = np.minimum.accumulate(reach[::-1])[::-1]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    final = np.append(first[1:], m) - 1
-    return grams[at[first]], at[first], first, final
+    windows = np.flatnonzero(inside)
+    at = at[windows]
+    opens = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+    first, final = windows[opens], windows[np.append(opens[1:], len(windows)) - 1] if len(at) else opens
+    return grams[at[opens]], at[opens], first, final, np.searchsorted(first, texts)
 
 
 def _find(window: int, gram: int):
@@ -78,19 +94,14 @@ def _find(window: int, gram: int):
             for a, b in chunks(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words, starts, ends, first = scan_words(part, at)
-                sums, hashes, places, sizes = [], [], [], []
                 spaced, shift = joined(part, starts, ends)
-                for i in range(b - a):
-                    u, v = first[i], first[i + 1]
-                    sums.append(hashlib.sha256(spaced[shift[u] : max(shift[u], shift[v] - 1)]).hexdigest())
-                    h, p, _, _ = anchors(words[u:v], window, gram)
-                    hashes.append(h)
-                    places.append(p)
-                    sizes.append(len(h))
-                list_at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                sums = [hashlib.sha256(spaced[u : max(u, v - 1)]).hexdigest() for u, v in pairwise(shift[first].tolist())]
+                hashes, places, _, _, text_at = anchors_of(words, first, window, gram)
+                places = places - np.repeat(first[:-1], np.diff(text_at))
+                list_at = pa.array(text_at.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.arange(number, number + b - a)), pa.array(np.diff(first), pa.int64()), pa.array(sums, pa.string()),
-                     pa.ListArray.from_arrays(list_at, pa.array(np.concatenate(hashes).view(np.int64))), pa.ListArray.from_arrays(list_at, pa.array(np.concatenate(places).astype(np.int32)))],
+                     pa.ListArray.from_arrays(list_at, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(list_at, pa.array(places.astype(np.int32)))],
                     names=["id", "key", "row", "n_words", "whole", "hashes", "places"],
                 )
                 number += b - a
@@ -150,6 +161,21 @@ class _Stretches:
         )
 
 
+def _anchored(data: np.ndarray, offsets: np.ndarray, rows: list[int], window: int, gram: int) -> Iterator[tuple]:
+    """(row, text, first byte, byte after the last and hash of each word, ``anchors``) of these rows' texts."""
+    for a, b in chunks(offsets):
+        wanted = rows[bisect_left(rows, a) : bisect_left(rows, b)]
+        if not wanted:
+            continue
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        words, starts, ends, first = scan_words(part, at)
+        *found, text_at = anchors_of(words, first, window, gram)
+        for i in wanted:
+            u, v, x, y = first[i - a], first[i - a + 1], text_at[i - a], text_at[i - a + 1]
+            hashes, *places = (f[x:y] for f in found)
+            yield i, part[at[i - a] : at[i - a + 1]].tobytes(), starts[u:v] - at[i - a], ends[u:v] - at[i - a], words[u:v], (hashes, *(p - u for p in places))
+
+
 def _cut(window: int, gram: int):
     """Rows (row, text, weight, places, hot) to stretches (route, key, stretch, core, weight, rows, starts).
 
@@ -163,14 +189,13 @@ def _cut(window: int, gram: int):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             owners, weights = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i in range(batch.num_rows):
-                if owners[i] in seen:
-                    continue
-                if weights[i] > 1:
-                    seen.add(owners[i])
-                part = data[offsets[i] : offsets[i + 1]]
-                words, starts, ends, _ = scan_words(part, np.array([0, len(part)]))
-                hashes, at, first, final = anchors(words, window, gram)
+            new = []  # rows whose text was not taken before
+            for i, (owner, weight) in enumerate(zip(owners, weights, strict=True)):
+                if owner not in seen:
+                    new.append(i)
+                if weight > 1:
+                    seen.add(owner)
+            for i, raw, starts, ends, words, (hashes, at, first, final) in _anchored(data, offsets, new, window, gram):
                 listed, hot = np.array(batch.column(3)[i].values), np.array(batch.column(4)[i].values)
                 mine = np.isin(listed, at)
                 where, hot = np.searchsorted(at, listed[mine]), hot[mine]
@@ -184,7 +209,7 @@ def _cut(window: int, gram: int):
                     route = np.where(deal, own[begin], np.repeat(route, each))
                     count = np.where(deal, 1, np.repeat(count, each))
                     where = np.repeat(where, each)
-                raw, stop = part.tobytes(), begin + count - 1 + window
+                stop = begin + count - 1 + window
                 pieces = [raw[s:e] for s, e in zip(starts[begin].tolist(), ends[stop - 1].tolist(), strict=True)]
                 held.add(owners[i], weights[i], pieces, route.tolist(), (at[where] + gram - begin).tolist(), begin)
                 if held.size > MERGED:
@@ -300,10 +325,10 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     counts = cut(flat.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("anchor", (F.col("c") > HOT).alias("hot")), "counts")
     back = cut(flat.select("row", "anchor", "place").join(counts, "anchor").groupBy("row").agg(F.collect_list(F.struct("place", "hot")).alias("x")), "repeated")
     forget(flat, counts)
-    total = back.agg(F.sum(F.size("x"))).first()[0] or 0
-    shards = max(1, -(-total * (window + (window - gram) // 2) // SHARD_WORDS))
     rows = _texts(source, back.join(classes, "row")).select("row", "text", "n", F.col("x.place").alias("places"), F.col("x.hot").alias("hots"))
     pieces = cut(rows.mapInArrow(_cut(window, gram), "route bigint, key binary, stretch binary, core int, weight bigint, rows array<bigint>, starts array<int>"), "stretches")
+    # stretches that many texts share were merged by then, so shards are as many as what they index needs
+    shards = max(1, -(-pieces.count() * (window + (window - gram) // 2) // SHARD_WORDS))
     # an index needs to know how often a stretch stands; where, is joined to what it has found, as often as that may be
     searched = pieces.select("route", "key", "stretch", "core", "weight").repartition(int(shards), "route").mapInArrow(_search(window), "key binary, begins array<int>, ends array<int>")
     searched = cut(searched, "found")

@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quern.llm import substring
 from quern.llm.fmindex import FMIndex, repeated_windows, suffix_ranks
-from quern.llm.substring import anchors, repeated_words, without_repeats
+from quern.llm.substring import anchors, anchors_of, repeated_words, without_repeats
 
 from .cases import empty, odd, odd_rows, prose, pruned, words
 
@@ -110,6 +111,46 @@ def test_anchors_own_each_window_once(symbols):
     assert all(b <= p <= a + 7 and p <= b + 7 for p, a, b in zip(at, first, last, strict=True))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=30), min_size=1, max_size=8))
+def test_anchors_of_many_texts_are_those_of_each(texts):
+    every = [np.array(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    *found, at = anchors_of(np.concatenate(every), begins, 10, 3)
+    for k, w in enumerate(every):
+        hashes, *places = (f[at[k] : at[k + 1]] for f in found)
+        for got, want in zip((hashes, *(p - begins[k] for p in places)), anchors(w, 10, 3), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_a_changed_word_costs_no_reading_for_each_end(monkeypatch):
+    """Ends between the changed word and the last are settled by halves, not one by one."""
+    r, steps = np.random.default_rng(2), []
+    extend = FMIndex.extend
+    monkeypatch.setattr(FMIndex, "extend", lambda self, symbols, lo, hi: steps.append(len(symbols)) or extend(self, symbols, lo, hi))
+    seqs = []
+    for _ in range(100):
+        seq = r.integers(1, 1000, 69)
+        changed = seq.copy()
+        changed[38] = seq[38] % 999 + 1
+        seqs += [seq, changed]
+    text = np.concatenate([np.append(s, 0) for s in seqs])
+    begin = np.arange(len(seqs)) * 70
+    found = repeated_windows(FMIndex(text, np.ones(len(seqs), int)), text, begin, begin + 69, begin + 35, 35)
+    for b in begin:
+        assert found[b : b + 35].tolist() == [i <= 3 for i in range(35)]
+    assert sum(steps) < 150 * len(seqs) and len(steps) < 250
+
+
+def test_shards_are_as_many_as_different_stretches_need(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 1000)
+    shards, deal = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *by: (shards.append(n) if by == ("route",) else None) or deal(self, n, *by))
+    shared = prose(50, 120)
+    check(spark, [prose(i, 5) + " " + shared + " " + prose(1000 + i, 5) for i in range(150)])
+    assert len(shards) == 1 and shards[0] <= 25
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_index_against_counting(seed):
     r = np.random.default_rng(seed)
